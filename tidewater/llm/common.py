@@ -73,7 +73,7 @@ def fs_delete(spark: SparkSession, path: str) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the input's size; for files, the size that is read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int | None = None) -> int:

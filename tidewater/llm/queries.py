@@ -2,8 +2,10 @@
 
 from tidewater.llm.decontaminate import op7_decontaminate
 from tidewater.llm.packing import op6_best_fit_pack
+from tidewater.llm.substring import op2_substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_best_fit_pack": op6_best_fit_pack,
     "op7_decontaminate": op7_decontaminate,
 }
