@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.common import Scratch, quoted, slices
-from tidewater.llm.tokens import WordTokenizer, default_vocabulary
+from tidewater.llm.tokens import default_vocabulary, word_tokenizer
 
 MAX_LEN = 2048
 _RANK_BITS = 44
@@ -129,7 +129,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, with_
         fields.append(T.StructField("ids", T.BinaryType()))
 
     def run(batches):
-        tokenizer = WordTokenizer(vocabulary)
+        tokenizer = word_tokenizer(vocabulary)
         kind = "<u2" if tokenizer.size <= 1 << 16 else "<u4"
         for whole in batches:
             for part in slices(whole, "t"):
@@ -166,7 +166,7 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) ->
     first = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("part", "length").orderBy("row")
     ranks = stored.select("row", "part", "length").withColumn("k", F.row_number().over(own) - 1)
-    ranked = ranks.join(first, ["part", "length"]).select("row", "length", (F.col("k") + F.col("first")).alias("rank"))
+    ranked = ranks.join(first.hint("merge"), ["part", "length"]).select("row", "length", (F.col("k") + F.col("first")).alias("rank"))
 
     def place(batches):
         for b in batches:

@@ -8,12 +8,18 @@ are gathered from a table from then on.
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 
-#: Words whose ids a worker remembers; beyond it the table starts anew.
-REMEMBER = 400_000
+from tidewater.llm.common import LOWER
+
+#: Words whose ids a worker process remembers; beyond it the table starts anew.
+REMEMBER = 1_000_000
+#: A token always ends between an ASCII letter or digit and ASCII punctuation but the apostrophe of contractions.
+_EDGE = re.compile(rb"([a-z0-9])([!-&(-/:-@\[-`{-~])")
 
 
 def default_vocabulary() -> str:
@@ -22,6 +28,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def folded(text: bytes) -> bytes:
+    """The text with case and punctuation folded so that fewer words differ; its ids stay the same.
+
+    The vocabulary lower-cases.  A text that may spell a special token stays as it is.
+    """
+    return text if b"<|" in text else _EDGE.sub(rb"\1 \2", text.translate(LOWER))
+
+
+_KEPT: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that tasks share what was learnt."""
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path)
+    return _KEPT[path]
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,18 +83,18 @@ class WordTokenizer:
         bounds = [0]
         for text in texts:
             if text:
-                words += text.split()
+                words += folded(text).split()
             if end is not None:
                 words.append(b"")
             bounds.append(len(words))
-        place = self.place
-        unknown = [w for w in dict.fromkeys(words) if w not in place]
-        if unknown:
-            self._learn(unknown)
         if not words:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(words[i] for i in new)))
+            at[new] = [self.place[words[i]] for i in new]
         pool, begin, count = self.tables
-        at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
         sizes = count[at]
         ends = np.cumsum(sizes)
         ids = pool[np.repeat(begin[at] - ends + sizes, sizes) + np.arange(ends[-1])]
