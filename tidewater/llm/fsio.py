@@ -21,12 +21,12 @@ def put(uri: str, data: bytes) -> None:
     store, path = _open(uri)
     store.create_dir(posixpath.dirname(path), recursive=True)
     mine = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(mine) as out:
+    with store.open_output_stream(mine, compression=None) as out:
         out.write(data)
     store.move(mine, path)
 
 
 def get(uri: str) -> bytes:
     store, path = _open(uri)
-    with store.open_input_stream(path) as source:
+    with store.open_input_stream(path, compression=None) as source:
         return source.read()

@@ -4,12 +4,14 @@ from tidewater.llm.decontaminate import op7_decontaminate
 from tidewater.llm.minhash import op1_minhash_dedup
 from tidewater.llm.packing import op6_best_fit_pack
 from tidewater.llm.substring import op2_substring_dedup
+from tidewater.llm.warc import op10_warc
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op6_best_fit_pack": op6_best_fit_pack,
     "op7_decontaminate": op7_decontaminate,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
