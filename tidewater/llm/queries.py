@@ -3,12 +3,16 @@
 from tidewater.llm.decontaminate import op7_decontaminate
 from tidewater.llm.minhash import op1_minhash_dedup
 from tidewater.llm.packing import op6_best_fit_pack
+from tidewater.llm.pii import op3_pii
+from tidewater.llm.quality import op8_quality
 from tidewater.llm.substring import op2_substring_dedup
 from tidewater.llm.warc import op10_warc
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_pii": op3_pii,
+    "op8_quality": op8_quality,
     "op6_best_fit_pack": op6_best_fit_pack,
     "op7_decontaminate": op7_decontaminate,
     "op10_warc": op10_warc,
