@@ -10,8 +10,9 @@
    estimate is far below the threshold fall away, and the others are confirmed
    on full sets.  So a large group gives a star, not all its pairs.
 3. Where a band bucket still holds several components, each class outside the
-   largest one is compared, register against register, with all classes of
-   other components, in blocks; what passes is confirmed likewise.
+   largest one is compared, register against register and then by its least
+   hashes, with all classes of other components, in blocks; only pairs that may
+   well be links leave their block, to be confirmed likewise.
 4. Components come from large-star and small-star rounds.
 """
 
@@ -37,6 +38,8 @@ MISS = 1e-6
 SLACK = 6.0
 #: Classes of one band bucket that are compared in one block.
 BLOCK = 2000
+#: Least hashes that compare two classes more closely before their pair leaves its block.
+KMV = 256
 
 _MASK = (1 << 64) - 1
 _C = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(16)]
@@ -164,10 +167,8 @@ def _by_estimate(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, label: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; texts has one row (doc_id, text) for each id."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = scratch.write(texts.join(ids, "doc_id", "left_semi"), f"texts-{label}")
+def _confirm(pairs: DataFrame, needed: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough; needed has the texts of their documents."""
     side = lambda x: needed.select(F.col("doc_id").alias(x), F.col("text").cast("binary").alias(f"t_{x}"))
 
     def run(batches):
@@ -187,21 +188,51 @@ def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, label: str, s
     return joined.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
-def _across(percent: int):
-    """Of a band bucket's block, the pairs of a query with a class of another component that may be links."""
+def _least_hashes(size: int):
+    """A text's KMV shingles of least hash, 32 bits each: the whole set where it has no more."""
+
+    def run(batches):
+        for whole in batches:
+            for part in slices(whole, "t"):
+                kmv = [np.sort((_mix(x) >> np.uint64(32)).astype("<u4"))[:KMV].tobytes() for x in shingle_sets(part.column(1).to_pylist(), size)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kmv, pa.binary())], names=["rep", "kmv"])
+
+    return run
+
+
+def _across(percent: int, bands: int, rows: int):
+    """Of a band bucket's block, the pairs of a query with a class of another component that may be links.
+
+    A pair that shares several bands is looked at in the first one; a pair of two queries once.
+    """
+    t = percent / 100
 
     def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        asks, minor = (table.column(k).to_numpy(zero_copy_only=False) for k in ("asks", "minor"))
         rep, comp, n = (table.column(k).to_numpy() for k in ("rep", "component", "n"))
         regs = _matrix(table.column("regs"))
+        keys = band_keys(regs, bands, rows)
+        band = int(np.flatnonzero((keys == table.column("key")[0].as_py()).all(axis=0))[0])
+        least = [np.frombuffer(x, "<u4") for x in table.column("kmv").to_pylist()]
         there = np.flatnonzero(~asks)
         a, b = [], []
         for q in np.flatnonzero(asks):
-            other = there[comp[there] != comp[q]]
+            other = there[(comp[there] != comp[q]) & ~(minor[there] & (rep[there] < rep[q]))]
+            if band:
+                other = other[~(keys[other, :band] == keys[q, :band]).any(axis=1)]
             if len(other):
-                good = other[_may_link(np.full(len(other), n[q]), n[other], (regs[other] == regs[q]).sum(axis=1), percent)]
-                a += np.minimum(rep[good], rep[q]).tolist()
-                b += np.maximum(rep[good], rep[q]).tolist()
+                other = other[_may_link(np.full(len(other), n[q]), n[other], (regs[other] == regs[q]).sum(axis=1), percent)]
+            for o in other.tolist():
+                x, y = least[q], least[o]
+                union = np.unique(np.concatenate((x, y)))
+                whole = n[q] <= KMV and n[o] <= KMV
+                if not whole:
+                    union = union[:KMV]
+                    x, y = x[x <= union[-1]], y[y <= union[-1]]
+                similar = (len(x) + len(y) - len(union)) / len(union)
+                if similar >= (t - 1e-3 if whole else t - SLACK * np.sqrt(t * (1 - t) / KMV)):
+                    a.append(min(rep[o], rep[q]))
+                    b.append(max(rep[o], rep[q]))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -238,23 +269,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_
     in_bands = scratch.write(in_bands, "bands")
     hubs = in_bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     stars = in_bands.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    texts = source.where("doc_id is not null")
-    first = scratch.write(_by_estimate(stars, reps, percent), "stars")
-    links = scratch.write(_confirm(first, texts, scratch, "stars", size, percent), "links")
+    stars = scratch.write(stars, "stars")
+    ids = stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id"))).distinct()
+    needed = scratch.write(source.join(ids.hint("merge"), "doc_id", "left_semi"), "texts", compression="zstd")  # the one time that texts are dealt out
+    links = scratch.write(_confirm(_by_estimate(stars, reps, percent), needed, size, percent), "links")
     parts = scratch.write(connected_components(links, scratch, "cc-a"), "parts")
 
     placed = in_bands.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     tally = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = tally.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_rows = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    asks = open_rows.where("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    open_rows = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("minor", F.col("component") != F.col("largest"))
+    asks = open_rows.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     dealt = open_rows.withColumn("block", F.pmod(F.hash("rep"), F.col("blocks"))).withColumn("asks", F.lit(False))
-    both = asks.unionByName(dealt).select("key", "block", "asks", "rep", "component").join(reps, "rep")
-    second = scratch.write(both.groupBy("key", "block").applyInArrow(_across(percent), "a long, b long").distinct(), "across")
+    both = scratch.write(asks.unionByName(dealt).select("key", "block", "asks", "minor", "rep", "component"), "open")
+    close = needed.join(both.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("t"))
+    close = scratch.write(close.mapInArrow(_least_hashes(size), "rep long, kmv binary").dropDuplicates(["rep"]).join(reps, "rep"), "close")
+    second = scratch.write(both.join(close, "rep").groupBy("key", "block").applyInArrow(_across(percent, bands, rows), "a long, b long").distinct(), "across")
     if second.isEmpty():
         final = parts
     else:
-        more = scratch.write(_confirm(second, texts, scratch, "across", size, percent), "more")
+        more = scratch.write(_confirm(second, needed, size, percent), "more")
         final = scratch.write(connected_components(links.unionAll(more), scratch, "cc-b"), "final")
     found = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("root"))
     least = found.groupBy("doc_id").agg(F.min("root").alias("root"))
