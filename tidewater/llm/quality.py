@@ -10,6 +10,7 @@ log-odds and the shrunk log-odds of its site add up to its posterior.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import map_text, quoted, slices
+from tidewater.llm.common import Scratch, map_text, quoted, slices
 from tidewater.llm.decontaminate import words
 
 #: Labelled rows that the document classifier is fitted on, at most; chosen by a hash of their id.
@@ -28,18 +29,15 @@ FEATURES = 1_500
 #: What the site's log-odds count beside the document's own, and by how much they may differ from the global ones.
 SITE_WEIGHT, SITE_LIMIT = 0.5, 1.5
 HEADS = ("toxic", "poor")
-_EDGES = np.array([0.002, 0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8, 0.95])
+_EDGES = (0.002, 0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8, 0.95)
 _UPPER, _PUNCT = bytes(range(65, 91)), bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-def features(text: bytes | None) -> set[bytes]:
-    """Binary features: words, their first four and five bytes, and binned style measures."""
-    text = text or b""
-    own = words(text)
-    distinct = set(own)
+def style(text: bytes, own: list[bytes], distinct: set[bytes]) -> list[bytes]:
+    """Binned style measures."""
     n, size = max(1, len(own)), max(1, len(text))
     lines = text.split(b"\n")
-    style = (
+    measures = (
         (size - len(text.translate(None, _UPPER))) / size,
         (size - len(text.translate(None, _PUNCT))) / size,
         text.count(b" | ") / n,
@@ -49,11 +47,15 @@ def features(text: bytes | None) -> set[bytes]:
         min(1.0, len(own) / 5000),
         min(1.0, sum(map(len, distinct)) / max(1, len(distinct)) / 20),
     )
-    out = {b"w" + w for w in distinct}
-    out |= {b"4" + w[:4] for w in distinct}
-    out |= {b"5" + w[:5] for w in distinct}
-    out |= {b"s%d:%d" % (k, b) for k, b in enumerate(np.digitize(style, _EDGES).tolist())}
-    return out
+    return [b"s%d:%d" % (k, bisect_right(_EDGES, m)) for k, m in enumerate(measures)]
+
+
+def features(text: bytes | None) -> set[bytes]:
+    """Binary features: words, their first four and five bytes, and binned style measures."""
+    text = text or b""
+    own = words(text)
+    distinct = set(own)
+    return {b"w" + w for w in distinct} | {b"4" + w[:4] for w in distinct} | {b"5" + w[:5] for w in distinct} | set(style(text, own, distinct))
 
 
 class Model:
@@ -70,7 +72,13 @@ class Model:
         self.weights, self.bias, self.index = weights, bias, index
 
     def logits(self, text: bytes | None) -> np.ndarray:
-        at = [i for f in features(text) if (i := self.index.get(f)) is not None]
+        text = text or b""
+        own = words(text)
+        distinct = set(own)
+        at = [self.words[w] for w in distinct & self.words.keys()]
+        at += [self.four[w] for w in {w[:4] for w in distinct} & self.four.keys()]
+        at += [self.five[w] for w in {w[:5] for w in distinct} & self.five.keys()]
+        at += [i for f in style(text, own, distinct) if (i := self.style.get(f)) is not None]
         return self.bias + self.weights[at].sum(axis=0)
 
 
@@ -200,13 +208,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     model = model or train(docs, labels, id_col, text_col)
     site = docs.withColumns({"__host": F.coalesce(quoted(host).cast("string"), F.lit("\x00")), "__path": F.coalesce(quoted(path).cast("string"), F.lit("\x00"))})
     bad = lambda: F.lit(1.0) - (F.lit(1.0) / (1 + F.exp("toxic_logit"))) * (F.lit(1.0) / (1 + F.exp("poor_logit")))
-    scored = evidence(site, model, text_col, ["__host", "__path"]).select("__host", "__path", bad().alias("p"))
-    (_, paths), mean = site_posteriors(scored, [["__host"], ["__host", "__path"]])
     kept = [c for c in docs.columns if carry is None or c in carry]
-    judged = evidence(site, model, text_col, [*kept, "__host", "__path"]).join(paths, ["__host", "__path"], "left")
+    own = evidence(site, model, text_col, [*kept, "__host", "__path"])
+    if text_col not in kept:  # without texts the evidence is small: it is kept, and worked out once
+        own = Scratch(docs.sparkSession, "quality").write(own, "evidence")
+    (_, paths), mean = site_posteriors(own.select("__host", "__path", bad().alias("p")), [["__host"], ["__host", "__path"]])
+    judged = own.join(paths, ["__host", "__path"], "left")
     limited = F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), _logit(F.col("posterior")) - float(np.log(mean / (1 - mean)))))
-    own = F.greatest(F.col("toxic_logit"), F.col("poor_logit"))
-    probability = 1 / (1 + F.exp(-(own + SITE_WEIGHT * limited)))
+    worst = F.greatest(F.col("toxic_logit"), F.col("poor_logit"))
+    probability = 1 / (1 + F.exp(-(worst + SITE_WEIGHT * limited)))
     out = judged.withColumn("site_posterior", F.col("posterior")).withColumn("bad_probability", probability).withColumn("accepted", F.col("bad_probability") < 0.5)
     new = ["toxic_logit", "poor_logit", "site_posterior", "bad_probability", "accepted"]
     return out.select(*[quoted(c) for c in kept if c.lower() not in new], *new)
