@@ -1,4 +1,155 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered reconciliation queries and their DuckDB equivalents."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewater.functions import flags as fl
+from tidewater.functions import mailtext as mt
+from tidewater.operators import reconcile as rc
+from tidewater.plans.fixtures import SQL, Snapshots
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _plan(name: str, body: str, build) -> None:
+    _query(name, f"WITH {SQL} {body}")(lambda spark, sf_dir: build(Snapshots(spark, sf_dir)))
+
+
+def _out(s: Snapshots):
+    return rc.outcomes(s.pairs, s.near, s.far, s.channels)
+
+
+def _acts(s: Snapshots):
+    return rc.plan(_out(s), rc.to_pull(s.far_new, s.marks), rc.to_push(s.near))
+
+
+def _batch_sql(rows: str, by: str) -> str:
+    return f"SELECT account, channel, {by}batch, count(*) n, string_agg(CAST(uid AS VARCHAR), ',' ORDER BY uid) uids FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY account, channel{', ' + by.rstrip(', ') if by else ''} ORDER BY uid) - 1) / 40) AS BIGINT) batch FROM ({rows})) GROUP BY account, channel, {by}batch"
+
+
+_STORE = "SELECT account, channel, 'add' op, add_mask mask, fuid uid FROM farupd WHERE add_mask <> 0 UNION ALL SELECT account, channel, 'remove', rem_mask, fuid FROM farupd WHERE rem_mask <> 0"
+
+_plan("reconcile_outcomes", "SELECT account, channel, fuid, nuid, code FROM outc", lambda s: _out(s).select("account", "channel", "fuid", "nuid", "code"))
+_plan("flag_merge", "SELECT account, channel, fuid, merged FROM outc WHERE merged IS NOT NULL", lambda s: _out(s).where("merged is not null").select("account", "channel", "fuid", "merged"))
+_plan("far_flag_updates", "SELECT * FROM farupd", lambda s: rc.far_flag_updates(_out(s)))
+_plan("near_flag_updates", "SELECT * FROM nearupd", lambda s: rc.near_flag_updates(_out(s)))
+_plan("near_deletes", "SELECT * FROM ndel", lambda s: rc.near_deletes(_out(s)))
+_plan("far_expunges", "SELECT * FROM expu", lambda s: rc.far_expunges(_out(s)))
+_plan("far_vanished", "SELECT account, channel, fuid FROM pairs p WHERE fuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM far f WHERE (f.account,f.channel,f.uid)=(p.account,p.channel,p.fuid))", lambda s: rc.vanished(s.pairs, s.far))
+_UNPAIRED = "SELECT account, channel, uid, flags FROM far f WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE (f.account,f.channel,f.uid)=(p.account,p.channel,p.fuid)) AND flags & 8"
+_plan("far_untracked", f"{_UNPAIRED} = 0", lambda s: rc.far_untracked(s.far, s.pairs))
+_plan("ghosts", f"{_UNPAIRED} <> 0", lambda s: rc.ghosts(s.far, s.pairs))
+_plan("near_untracked", "SELECT account, channel, uid, flags FROM near n WHERE uid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pairs p WHERE (n.account,n.channel,n.uid)=(p.account,p.channel,p.nuid))", lambda s: rc.near_untracked(s.near, s.pairs))
+_plan("to_pull", "SELECT * FROM pull", lambda s: rc.to_pull(s.far_new, s.marks))
+_plan("to_push", "SELECT * FROM push", lambda s: rc.to_push(s.near))
+_plan("store_batches", _batch_sql(_STORE, "op, mask, "), lambda s: rc.batches(rc.store_rows(rc.far_flag_updates(_out(s))), ["op", "mask"]))
+_plan("expunge_batches", _batch_sql("SELECT account, channel, fuid uid FROM expu", ""), lambda s: rc.batches(rc.far_expunges(_out(s)).withColumnRenamed("fuid", "uid"), []))
+_plan("assign_near_uids", "SELECT b.account, b.channel, kind_order, uid, name, uvlast + row_number() OVER (PARTITION BY b.account, b.channel ORDER BY kind_order, uid, name) near_uid FROM (SELECT account, channel, 1 kind_order, uid, '' AS name FROM pull UNION ALL SELECT account, channel, 2, NULL, name FROM push) b JOIN marks m ON (b.account,b.channel)=(m.account,m.channel)", lambda s: rc.assign_uids(rc.to_pull(s.far_new, s.marks), rc.to_push(s.near), s.marks))
+_plan("action_plan", "SELECT * FROM acts", _acts)
+_plan("dry_run_lines", "SELECT account, channel, line, kind, target, greatest(total - 12, 0) more FROM (SELECT *, CAST(row_number() OVER (PARTITION BY account, channel ORDER BY kind_order, target) AS INT) line, count(*) OVER (PARTITION BY account, channel) total FROM acts) WHERE line <= 12", lambda s: rc.shown(_acts(s)))
+_plan(
+    "next_state",
+    "SELECT account, channel, CASE WHEN code NOT IN ('C2','C3') THEN fuid END fuid, CASE WHEN code NOT LIKE 'D2%' THEN nuid END nuid, CAST(CASE WHEN code IN ('C2','C3') THEN nf | 8 WHEN code LIKE 'D2%' THEN ff | 8 ELSE coalesce(merged, flags) END AS INT) flags FROM outc WHERE code NOT IN ('A','B','C1','D1','D1+T','F','F+T')",
+    lambda s: rc.next_pairs(_out(s)),
+)
+_plan(
+    "status_summary",
+    """SELECT c.account, c.channel, alive, vgone, lgone, tdrift, coalesce(actions, 0) actions, coalesce(pull, 0) pull, coalesce(push, 0) push,
+ coalesce(nullif(concat_ws(', ', CASE WHEN pull > 0 THEN pull || ' to pull' END, CASE WHEN push > 0 THEN push || ' to push' END, CASE WHEN vgone > 0 THEN vgone || ' gone remote' END, CASE WHEN lgone > 0 THEN lgone || ' gone local' END, CASE WHEN tdrift > 0 THEN tdrift || ' trashed, kept' END), ''), 'in sync') line,
+ CASE WHEN actions > 0 THEN 1 ELSE 0 END rc
+ FROM (SELECT account, channel, count(*) alive, count(*) FILTER (code IN ('A','C1','C2','C3')) vgone, count(*) FILTER (code LIKE 'D%') lgone, count(*) FILTER (code = 'Gd') tdrift FROM outc GROUP BY ALL) c
+ LEFT JOIN (SELECT account, channel, count(*) actions, count(*) FILTER (kind = 'pull') pull, count(*) FILTER (kind = 'push') push FROM acts GROUP BY ALL) a ON (c.account,c.channel)=(a.account,a.channel)""",
+    lambda s: rc.summary(_out(s), _acts(s)),
+)
+
+
+def _fast_path(s: Snapshots):
+    stats = s.far.groupBy("account", "channel").agg(F.count("*").alias("exists"), (F.max("uid") + 1).alias("uidnext"), F.sum("flags").alias("modseq"))
+    baseline = stats.select("account", "channel", F.when(F.col("channel") == 1, F.col("exists") + 1).otherwise(F.col("exists")).alias("exists"), "uidnext", "modseq")
+    return rc.changed_folders(stats, baseline)
+
+
+_plan("folder_fast_path", "SELECT account, channel, count(*) AS \"exists\", max(uid) + 1 uidnext, CAST(sum(flags) AS BIGINT) modseq FROM far GROUP BY account, channel HAVING channel = 1", _fast_path)
+
+
+@_query("changed_since", "SELECT event_id, user_id, event_type FROM events WHERE ts > (SELECT quantile_disc(ts, 0.5) FROM events)")
+def changed_since(spark, sf_dir):
+    """Rows beyond a cursor; the cursor here is the median time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cursor = events.selectExpr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(cast(ts AS timestamp))) AS m").first()["m"]
+    return events.where(F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(cursor)).select("event_id", "user_id", "event_type")
+
+
+def _letters_sql(x: str) -> str:
+    return "concat(" + ", ".join(f"CASE WHEN {x} & {b} <> 0 THEN '{c}' ELSE '' END" for c, b in fl.LETTERS) + ")"
+
+
+def _text_query(name, sql, build):
+    _query(name, sql)(lambda spark, sf_dir: build(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")))
+
+
+_text_query("flags_to_letters", f"SELECT o_orderkey, {_letters_sql('(o_orderkey % 64)')} letters FROM orders", lambda t: t("orders").select("o_orderkey", fl.to_letters(F.col("o_orderkey") % 64).alias("letters")))
+_text_query("letters_to_flags", "SELECT o_orderkey, CAST(o_orderkey % 64 AS INT) flags FROM orders", lambda t: t("orders").select("o_orderkey", fl.from_letters(F.concat(F.lit("x"), fl.to_letters(F.col("o_orderkey") % 64))).alias("flags")))
+_text_query(
+    "imap_flags",
+    "SELECT o_orderkey, trim(concat(" + ", ".join(f"CASE WHEN (o_orderkey % 64) & {b} <> 0 THEN '{c} ' ELSE '' END" for c, b in fl.NAMES) + ")) imap, CAST(o_orderkey % 64 AS INT) flags FROM orders",
+    lambda t: t("orders").select("o_orderkey", fl.to_imap(F.col("o_orderkey") % 64).alias("imap")).withColumn("flags", fl.from_imap(F.col("imap"))),
+)
+
+
+def _names(t):
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("17."), k.cast("string"), F.when(k % 3 != 0, F.concat(F.lit(",U="), (k % 5 * k).cast("string"))).otherwise(""), F.when(k % 4 != 0, F.concat(F.lit(":2,"), fl.to_letters(k % 64))).otherwise(""))
+    x = t("orders").select("o_orderkey", name.alias("name"))
+    return x.select("o_orderkey", "name", mt.uid_of_name(F.col("name")).alias("uid"), fl.from_letters(mt.letters_of_name(F.col("name"))).alias("flags"), mt.base_of_name(F.col("name")).alias("base"))
+
+
+_text_query(
+    "filename_parse",
+    f"SELECT o_orderkey, b || s AS name, nullif(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 5 * o_orderkey END, 0) uid, CAST(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 64 ELSE 0 END AS INT) flags, b base FROM (SELECT o_orderkey, '17.' || o_orderkey || CASE WHEN o_orderkey % 3 <> 0 THEN ',U=' || (o_orderkey % 5 * o_orderkey) ELSE '' END b, CASE WHEN o_orderkey % 4 <> 0 THEN ':2,' || {_letters_sql('(o_orderkey % 64)')} ELSE '' END s FROM orders)",
+    _names,
+)
+_text_query(
+    "crlf_normalise",
+    "SELECT doc_id, md5(replace(text, chr(10), chr(13) || chr(10))) crlf_md5, CAST(strlen(replace(text, chr(10), chr(13) || chr(10))) AS BIGINT) crlf_bytes, md5(text) lf_md5 FROM documents",
+    lambda t: t("documents").select("doc_id", F.md5(mt.to_crlf("text").cast("binary")).alias("crlf_md5"), F.octet_length(mt.to_crlf("text")).cast("long").alias("crlf_bytes"), F.md5(mt.to_lf(mt.to_crlf("text")).cast("binary")).alias("lf_md5")),
+)
+_text_query(
+    "dot_stuff",
+    "SELECT doc_id, md5(substr(replace(chr(10) || replace(text, ' ', chr(10) || '.'), chr(10) || '.', chr(10) || '..'), 2)) stuffed_md5 FROM documents",
+    lambda t: t("documents").select("doc_id", F.md5(mt.dot_stuffed(F.regexp_replace("text", " ", "\n.")).cast("binary")).alias("stuffed_md5")),
+)
+_text_query("base64_text", "SELECT conv_id, turn, md5(base64(encode(text))) b64_md5 FROM conversations", lambda t: t("conversations").select("conv_id", "turn", F.md5(mt.base64_text(F.col("text")).cast("binary")).alias("b64_md5")))
+
+
+def _header(t):
+    k = F.col("c_custkey").cast("string")
+    value = F.concat(F.lit('"Last, First" <a'), k, F.lit("@one.test>, b"), k, F.lit("@two.test\r\n , x <c"), k, F.lit("@three.test>, <>, <p> <q>"))
+    return t("customer").select("c_custkey", F.array_join(mt.addresses(value), ";").alias("addresses"))
+
+
+_text_query("header_addresses", "SELECT c_custkey, 'a' || c_custkey || '@one.test;b' || c_custkey || '@two.test;c' || c_custkey || '@three.test' addresses FROM customer", _header)
+
+
+def _pick(t):
+    """The account whose address equals a sender's, whatever its case; else the first account."""
+    accounts = t("nation").select(F.lower("n_name").alias("address"), F.col("n_nationkey").alias("account"))
+    first = t("nation").agg(F.min("n_nationkey").alias("default"))
+    senders = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.lit("nobody")).otherwise(F.concat(F.lit(""), F.col("c_nationkey").cast("string"))).alias("k"), "c_nationkey")
+    named = senders.join(F.broadcast(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.when(F.col("k") == "nobody", F.lit("nobody")).otherwise(F.upper("n_name")).alias("sender"))
+    return named.join(F.broadcast(accounts), F.lower("sender") == F.col("address"), "left").crossJoin(F.broadcast(first)).select("c_custkey", F.coalesce("account", "default").alias("account"))
+
+
+_text_query("pick_account", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN n_nationkey END, (SELECT min(n_nationkey) FROM nation)) account FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", _pick)
