@@ -5,7 +5,9 @@ from tidewater.llm.minhash import op1_minhash_dedup
 from tidewater.llm.packing import op6_best_fit_pack
 from tidewater.llm.pii import op3_pii
 from tidewater.llm.quality import op8_quality
+from tidewater.llm.sharding import op9_compact_shards
 from tidewater.llm.substring import op2_substring_dedup
+from tidewater.llm.tokenfiles import op4_token_files
 from tidewater.llm.warc import op10_warc
 
 QUERIES = {
@@ -15,7 +17,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op6_best_fit_pack": op6_best_fit_pack,
     "op7_decontaminate": op7_decontaminate,
+    "op4_token_files": op4_token_files,
+    "op9_compact_shards": op9_compact_shards,
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {}  # the digests, trained models and files have no SQL form; tests use brute force
