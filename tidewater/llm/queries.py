@@ -1,6 +1,7 @@
 """The corpus operators' registered queries."""
 
 from tidewater.llm.decontaminate import op7_decontaminate
+from tidewater.llm.hnsw import op5_embedding_dedup
 from tidewater.llm.minhash import op1_minhash_dedup
 from tidewater.llm.packing import op6_best_fit_pack
 from tidewater.llm.pii import op3_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
     "op8_quality": op8_quality,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_best_fit_pack": op6_best_fit_pack,
     "op7_decontaminate": op7_decontaminate,
     "op4_token_files": op4_token_files,
