@@ -72,8 +72,10 @@ def fs_delete(spark: SparkSession, path: str) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the input's size; for files, the size that is read."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables that df reads, by the optimizer's figures; a table of unknown size counts as empty."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
