@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,7 @@ def write_packed(docs: DataFrame, root: str | None = None, vocabulary: str | Non
 
     def write(batches):
         block, rows = None, []
+        unpacker = zstandard.ZstdDecompressor()
 
         def close():
             height = 1 + max(r[4] for r in rows) % BLOCK_ROWS
@@ -65,7 +67,7 @@ def write_packed(docs: DataFrame, root: str | None = None, vocabulary: str | Non
             ends, resets = [[0] for _ in range(height)], [[] for _ in range(height)]
             for _, _, _, length, seq, offset, data in rows:
                 r = seq % BLOCK_ROWS
-                ids[r, offset : offset + length] = np.frombuffer(data, kind)
+                ids[r, offset : offset + length] = np.frombuffer(unpacker.decompress(data), kind)
                 ends[r].append(offset + length)
                 resets[r].append(offset)
             for r in range(height):
