@@ -63,7 +63,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if (first := _DIGIT.search(text)) is not None:
         from_ = first.start()
         for m in _IP.finditer(text, from_):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text, from_):
             digits = m[0].replace(" ", "").replace("-", "")
