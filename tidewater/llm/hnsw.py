@@ -10,11 +10,15 @@ where they are found, and leave a block as the spanning forest of its links.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidewater.llm import fsio
 from tidewater.llm.common import Scratch, quoted
 from tidewater.llm.components import connected_components
 
@@ -24,6 +28,8 @@ SHARDS, SHARD_ROWS = 6, 16_384
 LINKS, BUILD_BEAM, FIRST_BEAM, LAST_BEAM = 12, 32, 16, 256
 #: Queries of a block whose beams are compared with brute force, and the recall that passes.
 AUDIT, RECALL = 128, 0.99
+#: Pairs whose cosines are worked out at once.
+COSINES = 1 << 16
 
 
 class Graph:
@@ -164,37 +170,73 @@ def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _unit(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(data, "<f8").reshape(-1, dim)
-    return x, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _stored(root: str, dim: int, shard: int) -> str:
+    return f"{root}/{dim}-{shard:06d}.npz"
+
+
+def _build(root: str):
+    """Builds the graph of a shard and stores it with the vectors, as they came, their ids and numbers of copies."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
+        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        graph = Graph(_unit(x))
+        out = io.BytesIO()
+        layers = {f"layer{k}": g for k, g in enumerate(graph.layers)}
+        np.savez(out, x=x, i=table.column("rep").to_numpy(), c=table.column("copies").to_numpy(), entry=graph.entry, **layers)
+        fsio.put(_stored(root, dim, shard), out.getvalue())
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int64())})
+
+    return run
+
+
+class _Shard:
+    def __init__(self, root: str, dim: int, shard: int):
+        own = np.load(io.BytesIO(fsio.get(_stored(root, dim, shard))))
+        self.x, self.ids, self.copies = own["x"], own["i"], own["c"]
+        self.graph = Graph.__new__(Graph)
+        self.graph.x, self.graph.entry = _unit(self.x), int(own["entry"])
+        self.graph.layers = [own[f"layer{k}"] for k in range(sum(name.startswith("layer") for name in own.files))]
+
+
+def _cosine(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of x[a] with y[b] in double precision, a block of pairs at a time."""
+    out = np.empty(len(a))
+    for k in range(0, len(a), COSINES):
+        p, q = x[a[k : k + COSINES]].astype(np.float64), y[b[k : k + COSINES]].astype(np.float64)
+        out[k : k + COSINES] = np.einsum("ij,ij->i", p, q) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1))
+    return out
 
 
-def _links(threshold: float):
+def _links(root: str, threshold: float):
     """For two shards: how many vectors each vector is linked with, and a forest of the links."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                (xa, ua), (xb, ub) = _unit(r["xa"], r["dim"]), _unit(r["xb"], r["dim"])
-                graph = Graph.__new__(Graph)
-                graph.x, graph.entry = ua, r["entry"]
-                graph.layers = [np.frombuffer(g, "<i4").reshape(len(ua), -1) for g in r["layers"]]
-                b, a = graph.audited(ub, threshold - 1e-3)
-                if r["same"]:
+            for dim, sa, sb in zip(*(c.to_pylist() for c in batch.columns)):
+                one = _Shard(root, dim, sa)
+                two = one if sa == sb else _Shard(root, dim, sb)
+                b, a = one.graph.audited(two.graph.x, threshold - 1e-3)
+                if sa == sb:
                     b, a = np.minimum(a, b), np.maximum(a, b)
                     keep = a != b
                     a, b = a[keep], b[keep]
                 pairs = np.unique(np.stack((a, b), 1), axis=0)
                 a, b = pairs[:, 0], pairs[:, 1]
-                cos = np.einsum("ij,ij->i", xa[a], xb[b]) / (np.linalg.norm(xa[a], axis=1) * np.linalg.norm(xb[b], axis=1))
-                a, b = a[cos >= threshold], b[cos >= threshold]
-                (ia, ca), (ib, cb) = ((np.frombuffer(r[f"i{s}"], "<i8"), np.frombuffer(r[f"c{s}"], "<i8")) for s in "ab")
-                na, nb = np.bincount(a, cb[b], len(ia)).astype(np.int64), np.bincount(b, ca[a], len(ib)).astype(np.int64)
-                forest = _forest(list(zip(ia[a].tolist(), ib[b].tolist())))
-                one, two = np.flatnonzero(na), np.flatnonzero(nb)
-                first = np.concatenate((ia[one], ib[two], np.array([e[0] for e in forest], np.int64)))
-                second = np.concatenate((np.full(len(one) + len(two), -1), np.array([e[1] for e in forest], np.int64)))
-                n = np.concatenate((na[one], nb[two], np.full(len(forest), -1)))
+                near = _cosine(one.x, two.x, a, b) >= threshold
+                a, b = a[near], b[near]
+                na, nb = np.bincount(a, two.copies[b], len(one.ids)).astype(np.int64), np.bincount(b, one.copies[a], len(two.ids)).astype(np.int64)
+                forest = _forest(list(zip(one.ids[a].tolist(), two.ids[b].tolist())))
+                at_a, at_b = np.flatnonzero(na), np.flatnonzero(nb)
+                first = np.concatenate((one.ids[at_a], two.ids[at_b], np.array([e[0] for e in forest], np.int64)))
+                second = np.concatenate((np.full(len(at_a) + len(at_b), -1), np.array([e[1] for e in forest], np.int64)))
+                n = np.concatenate((na[at_a], nb[at_b], np.full(len(forest), -1)))
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second.astype(np.int64)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
 
     return run
@@ -210,30 +252,29 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "hnsw")
-    rows = vectors.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType
+    kept_as = "array<float>" if isinstance(kind, T.ArrayType) and kind.elementType == T.FloatType() else "array<double>"
+    rows = vectors.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast(kept_as).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
-    classes = scratch.write(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    good = good.withColumns({"f1": F.xxhash64(F.lit(1), "v"), "f2": F.xxhash64(F.lit(2), "v")})  # 128 bits stand for a vector
+    by_class = good.groupBy("f1", "f2")
+    sizes = F.min("vec_id").alias("rep"), F.count("*").alias("copies")
+    classes = scratch.write(by_class.agg(*sizes), "classes")
     shards = max(SHARDS, -(-classes.count() // SHARD_ROWS))
-
-    def build(table: pa.Table) -> pa.Table:
-        dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
-        x = table.column("v").combine_chunks().values.to_numpy().reshape(-1, dim)
-        graph = Graph((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int64()), "x": pa.array([x.astype("<f8").tobytes()], pa.binary()), "i": pa.array([table.column("rep").to_numpy().astype("<i8").tobytes()], pa.binary()), "c": pa.array([table.column("copies").to_numpy().astype("<i8").tobytes()], pa.binary()), "entry": pa.array([graph.entry], pa.int64()), "layers": pa.array([[g.astype("<i4").tobytes() for g in graph.layers]], pa.list_(pa.binary()))})
-
-    dealt = classes.select("v", "rep", "copies", F.size("v").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"))
-    built = scratch.write(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, x binary, i binary, c binary, entry long, layers array<binary>"), "graphs")
-    left = built.select("dim", F.col("shard").alias("sa"), F.col("x").alias("xa"), F.col("i").alias("ia"), F.col("c").alias("ca"), "entry", "layers")
-    targets = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))  # the blocks of queries of every shard, each pair of shards once
-    asked = built.select("dim", F.col("shard").alias("sb"), F.col("x").alias("xb"), F.col("i").alias("ib"), F.col("c").alias("cb")).withColumn("sa", targets).where("sa <= sb")
-    pairs = asked.repartition(shards * (shards + 1) // 2, "sa", "sb").join(left.hint("merge"), ["dim", "sa"]).withColumn("same", F.col("sa") == F.col("sb")).drop("sa", "sb")
-    found = scratch.write(pairs.repartition(shards * (shards + 1) // 2).mapInArrow(_links(threshold), "a long, b long, n long"), "found")
+    root = scratch.path("graphs")
+    dealt = by_class.agg(*sizes, F.first("v").alias("v")).select("v", "rep", "copies", F.size("v").alias("dim"), F.pmod("f1", F.lit(shards)).alias("shard"))
+    built = dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build(root), "dim int, shard long")
+    built = scratch.write(built, "built")
+    # the blocks of queries of every shard with every graph, each pair of shards once; tasks read both from the shared folder
+    asked = built.select("dim", F.col("shard").alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), "shard")).alias("sa"))
+    pairs = asked.join(built.withColumnRenamed("shard", "sa"), ["dim", "sa"], "left_semi").select("dim", "sa", "sb")
+    found = scratch.write(pairs.repartition(shards * (shards + 1) // 2).mapInArrow(_links(root, threshold), "a long, b long, n long"), "found")
     counts = found.where("b = -1 and n >= 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     links = found.where("n = -1").select("a", "b")
     parts = scratch.write(connected_components(links, scratch), "parts")
-    whole = classes.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("v", F.coalesce("component", "rep").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    placed = good.join(whole, "v").groupBy("vec_id").agg(F.max("links").alias("links"), F.min("root").alias("root"))
+    whole = classes.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    placed = good.select("vec_id", "f1", "f2").join(whole, ["f1", "f2"]).groupBy("vec_id").agg(F.max("links").alias("links"), F.min("root").alias("root"))
     out = rows.select("vec_id").join(placed, "vec_id", "left")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(True)).alias("kept"))
 
