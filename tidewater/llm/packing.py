@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm import fsio
 from tidewater.llm.common import Scratch, quoted, slices
 from tidewater.llm.tokens import default_vocabulary, word_tokenizer
 
 MAX_LEN = 2048
 _RANK_BITS = 44
+#: monotonically_increasing_id() numbers rows in this many bits, below the number of the partition.
+_PART_BITS = 33
 
 
 class CapacityTree:
@@ -155,13 +158,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, with_
     return docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("binary").alias("t")).mapInArrow(run, T.StructType(fields))
 
 
-def pack_pieces(pieces: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a `length`; packs all of them by best-fit decreasing.
+def _ranked(pieces: DataFrame, scratch: Scratch, max_len: int) -> tuple[DataFrame, DataFrame]:
+    """The stored pieces with a row number each, and (row, sequence_id, offset) by best-fit decreasing over all of them.
 
     The pieces are written once, with a row number; a rank that is worked out
     again after a lost executor is therefore the same.
     """
-    stored = scratch.write(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces", compression="zstd").withColumn("part", F.shiftright("row", 33))
+    stored = scratch.write(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces", compression="zstd").withColumn("part", F.shiftright("row", _PART_BITS))
     by_part = scratch.write(stored.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
     plan = plan_packing(histogram, max_len)
@@ -177,8 +180,66 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) ->
             bins, offsets = plan.place(length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([row, pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())], names=["row", "sequence_id", "offset"])
 
-    placed = ranked.mapInArrow(place, "row long, sequence_id long, offset long")
-    return stored.drop("part").join(placed, "row").drop("row")
+    return stored.drop("part"), ranked.mapInArrow(place, "row long, sequence_id long, offset long")
+
+
+def pack_pieces(pieces: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a `length`; packs all of them by best-fit decreasing."""
+    stored, placed = _ranked(pieces, scratch, max_len)
+    return stored.join(placed, "row").drop("row")
+
+
+def pack_in_place(pieces: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) -> DataFrame:
+    """As pack_pieces, for pieces that carry ids: only row numbers and places are shuffled.
+
+    The places of each part, which is what one task wrote, become a file in the
+    shared folder; tasks that read a part's pieces look their places up there.
+    """
+    stored, placed = _ranked(pieces, scratch, max_len)
+    root = scratch.path("places")
+
+    def store(batches):
+        part, held = None, []
+
+        def close():
+            fsio.put(f"{root}/{part}", np.concatenate(held, axis=1).astype("<i8").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], names=["part"])
+
+        for b in batches:
+            table = np.stack([c.to_numpy() for c in b.columns])
+            for run in np.split(table, np.flatnonzero(np.diff(table[0] >> _PART_BITS)) + 1, axis=1):
+                if not run.shape[1]:
+                    continue
+                own = int(run[0, 0] >> _PART_BITS)
+                if own != part and held:
+                    yield close()
+                    held = []
+                part = own
+                held.append(run)
+        if held:
+            yield close()
+
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_part = placed.repartition(n, F.shiftright("row", _PART_BITS)).sortWithinPartitions("row")
+    scratch.write(by_part.mapInArrow(store, "part long"), "parts")
+    names = [c for c in stored.columns if c != "row"]
+
+    def look_up(batches):
+        part, places = None, np.zeros((3, 0), np.int64)
+        for b in batches:
+            row = b.column(0).to_numpy()
+            found = np.zeros((2, len(row)), np.int64)
+            bounds = [0, *(np.flatnonzero(np.diff(row >> _PART_BITS)) + 1).tolist(), len(row)]
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                if end > start:
+                    own = int(row[start] >> _PART_BITS)
+                    if own != part:
+                        part, places = own, np.frombuffer(fsio.get(f"{root}/{own}"), "<i8").reshape(3, -1)
+                    found[:, start:end] = places[1:, np.searchsorted(places[0], row[start:end])]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found[0]), pa.array(found[1])], names=[*names, "sequence_id", "offset"])
+
+    fields = [stored.schema[c] for c in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    return stored.select("row", *names).mapInArrow(look_up, T.StructType(fields))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, max_len: int = MAX_LEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

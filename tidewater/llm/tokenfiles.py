@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import fsio
 from tidewater.llm.common import Scratch
-from tidewater.llm.packing import MAX_LEN, pack_pieces, token_pieces
+from tidewater.llm.packing import MAX_LEN, pack_in_place, token_pieces
 from tidewater.llm.tokens import default_vocabulary, word_tokenizer
 
 BLOCK_ROWS = 1024
@@ -54,7 +54,7 @@ def write_packed(docs: DataFrame, root: str | None = None, vocabulary: str | Non
     scratch = Scratch(spark, "tokens")
     root = root or scratch.path("files")
     kind = "<u2" if word_tokenizer(vocabulary).size <= 1 << 16 else "<u4"
-    placed = pack_pieces(token_pieces(docs, vocabulary, max_len, with_ids=True), scratch, max_len)
+    placed = pack_in_place(token_pieces(docs, vocabulary, max_len, with_ids=True), scratch, max_len)
     placed = placed.withColumn("block", F.floor(F.col("sequence_id") / BLOCK_ROWS).cast("long"))
 
     def write(batches):
