@@ -54,7 +54,7 @@ def write_packed(docs: DataFrame, root: str | None = None, vocabulary: str | Non
     scratch = Scratch(spark, "tokens")
     root = root or scratch.path("files")
     kind = "<u2" if word_tokenizer(vocabulary).size <= 1 << 16 else "<u4"
-    placed = pack_in_place(token_pieces(docs, vocabulary, max_len, with_ids=True), scratch, max_len)
+    placed = pack_in_place(token_pieces(docs, vocabulary, max_len, with_ids=True).drop("ids_crc32"), scratch, max_len)
     placed = placed.withColumn("block", F.floor(F.col("sequence_id") / BLOCK_ROWS).cast("long"))
 
     def write(batches):
