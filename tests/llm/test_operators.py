@@ -157,6 +157,27 @@ def test_pii(spark):
     assert {r["doc_id"]: r["text"] for r in redact(df).collect()}[4] == "call [PHONE] or [EMAIL] now"
 
 
+def test_pii_beside_base_spans(spark):
+    rows = [
+        (1, "x +1 (826) 555-4081 190.137.223.204"),
+        (2, "+1 (843) 555-7672 170.106.47.218 y"),
+        (3, "card 4539 1488 0343 6467 (414) 555-7134"),
+        (4, "10.0.0.1 (414) 555-7134 10.0.0.2"),
+        (5, "a@b.de (414) 555-7134 ann (at) example (dot) com c@d.de"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in redact(df).collect()} == {
+        1: "x [PHONE] [IP]",
+        2: "[PHONE] [IP] y",
+        3: "card [CARD] [PHONE]",
+        4: "[IP] [PHONE] [IP]",
+        5: "[EMAIL] [PHONE] [EMAIL] [EMAIL]",
+    }
+    for r in find_pii(df).collect():
+        base = [(s["start"], s["end"]) for s in r["base_spans"]]
+        assert len(r["spans"]) > len(base) and not any(s["start"] < e and b < s["end"] for s in r["spans"] for b, e in base if (s["start"], s["end"]) != (b, e))
+
+
 def test_embeddings(spark):
     g = np.random.default_rng(2)
     base = g.normal(size=(8, 16))

@@ -35,6 +35,8 @@ _DIGIT = re.compile(r"[0-9]")
 #: Runs of digit groups with short separators, and addresses whose signs are spelt out.
 _RUN = re.compile(r"\(?[0-9]{1,19}(?:[ .()/-]{1,2}[0-9]{1,19}){1,11}")
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}")
+#: The sign and the country of a phone number.
+_LEAD = re.compile(r"\+(?:[0-9]{1,3}[ .-]{1,2})?$")
 _UNIT = re.compile(r"[0-9]+|\((?:at|dot)\)|\[(?:at|dot)\]|\b(?:at|dot)\b|[A-Za-z]+|[^0-9A-Za-z]")
 
 
@@ -200,22 +202,36 @@ def trained(runs: int = 700, rounds: int = 4, seed: int = 11) -> dict:
     return weights
 
 
+def _gaps(n: int, base: list[tuple[int, int, int]]):
+    """The parts of a text of n code points that the sorted base spans leave."""
+    at = 0
+    for s, _, e in base:
+        if s > at:
+            yield at, s
+        at = max(at, e)
+    if at < n:
+        yield at, n
+
+
 def model_spans(text: str, base: list[tuple[int, int, int]], weights: dict) -> list[tuple[int, int, int]]:
-    """Further spans of the model, none of which overlaps a base span."""
+    """Further spans of the model, none of which overlaps a base span; what stands beside one is decoded by itself."""
     out = []
-    runs = list(_RUN.finditer(text)) if _DIGIT.search(text) else []
-    if "at" in text:
-        low = "(at)" in text or "[at]" in text
+    digits = _DIGIT.search(text) is not None
+    low = "(at)" in text or "[at]" in text
+    for a, b in _gaps(len(text), base) if digits or low else ():
+        runs = list(_RUN.finditer(text, a, b)) if digits else []
         if low:
-            runs += _SPELT.finditer(text)
-    for m in runs:
-        if any(m.start() < e and s < m.end() for s, _, e in base):
-            continue
-        units = [(u[0], m.start() + u.start(), m.start() + u.end()) for u in _UNIT.finditer(m[0])]
-        for i, j, k in decode([u[0] for u in units], weights):
-            span = (units[i][1], KINDS.index(LABELS[k]), units[j - 1][2])
-            if not any(span[0] < e and s < span[2] for s, _, e in out):
-                out.append(span)
+            runs += _SPELT.finditer(text, a, b)
+        own = []
+        for m in runs:
+            units = [(u[0], m.start() + u.start(), m.start() + u.end()) for u in _UNIT.finditer(m[0])]
+            for i, j, k in decode([u[0] for u in units], weights):
+                start, kind, end = units[i][1], KINDS.index(LABELS[k]), units[j - 1][2]
+                if kind == 3 and (lead := _LEAD.search(text, max(a, start - 6), start)):
+                    start = lead.start()
+                if not any(start < e and s < end for s, _, e in own):
+                    own.append((start, kind, end))
+        out += own
     return out
 
 
