@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch
 from tidewater.llm.decontaminate import cut_contaminated, drop_contaminated, find_contamination
-from tidewater.llm.hnsw import near_embeddings
+from tidewater.llm.hnsw import Graph, near_embeddings
 from tidewater.llm.minhash import estimate, near_duplicates, registers
 from tidewater.llm.packing import pack, plan_packing
 from tidewater.llm.pii import find_pii, redact
@@ -193,6 +193,28 @@ def test_embeddings(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
 
 
+@pytest.mark.parametrize("paired", [40, 900])
+def test_links_beside_a_hot_group(paired):
+    g = np.random.default_rng(4)
+    hot = g.normal(size=48) + g.normal(size=(1500, 48)) * 0.05
+    lone = g.normal(size=(3000, 48))
+    near = lone[:paired] + g.normal(size=(paired, 48)) * 0.1
+    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    graph = Graph(unit(np.concatenate((hot, lone, near))))
+    other = unit(np.concatenate((g.normal(size=(3000, 48)), lone[:paired] + g.normal(size=(paired, 48)) * 0.1)))
+    for q in (graph.x, other):
+        true = set(zip(*(k.tolist() for k in np.nonzero(q @ graph.x.T >= 0.949))))
+        a, b = graph.audited(q, 0.949)
+        found = set(zip(a.tolist(), b.tolist()))
+        if q is graph.x:
+            few = {(i, j) for i, j in true if i >= 1500 and i != j}
+            found |= {(j, i) for i, j in found}
+        else:
+            few = true
+        assert len(few) >= paired and len(few & found) >= 0.99 * len(few)
+        assert len(true & found) >= 0.99 * len(true)
+
+
 def test_warc(spark):
     rows = [(1, "http://b.com/x", "p"), (2, "http://a.com/?z=1&a=2", "q"), (3, None, "p"), (4, "http://b.com/x", None), (5, "http://b.com/x", ""), (6, "http://c.com/", "é" * 90000)]
     scratch = Scratch(spark, "t")

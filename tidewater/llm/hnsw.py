@@ -4,7 +4,7 @@ Equal vectors are one class.  Classes are dealt to shards by a hash; each shard
 builds its graph, and the vectors of every shard query the graphs of all shards,
 in blocks.  A query's beam is widened while it is full of links, and a whole
 block's beams while its recall audit against brute force fails; the widest beam
-is all of the shard.  Links are confirmed by cosine in double precision, counted
+is all of the shard, and so is the audit of a block with too few links to judge by.  Links are confirmed by cosine in double precision, counted
 where they are found, and leave a block as the spanning forest of its links.
 """
 
@@ -26,8 +26,8 @@ THRESHOLD = 0.95
 #: Shards at least, and the vectors that one shard should hold.
 SHARDS, SHARD_ROWS = 6, 16_384
 LINKS, BUILD_BEAM, FIRST_BEAM, LAST_BEAM = 12, 32, 16, 256
-#: Queries of a block whose beams are compared with brute force, and the recall that passes.
-AUDIT, RECALL = 128, 0.99
+#: Queries with few and with many links that a block's audit is to meet, and the recall that passes.
+AUDIT, RECALL = 512, 0.99
 #: Pairs whose cosines are worked out at once.
 COSINES = 1 << 16
 
@@ -141,16 +141,41 @@ class Graph:
         return np.concatenate(out_q or [np.zeros(0, int)]), np.concatenate(out_n or [np.zeros(0, int)])
 
     def audited(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """As `within`, with beams widened until a sample of queries reaches RECALL."""
-        sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-        true = np.argwhere(q[sample] @ self.x.T >= least)
-        want = set(zip(sample[true[:, 0]].tolist(), true[:, 1].tolist()))
-        beam = FIRST_BEAM
-        while True:
-            a, b = self.within(q, least, beam)
-            if beam > LAST_BEAM or len(want & set(zip(a.tolist(), b.tolist()))) >= RECALL * len(want):
-                return a, b
+        """As `within`, with beams widened until the audited queries reach RECALL.
+
+        Queries are compared with brute force, in random order, until AUDIT of them with few links and, if any were
+        met, AUDIT with many have been met; a block with fewer is compared as a whole.  The recall is the mean over
+        queries, for few and for many links apart, without a vector's hit on itself.
+        """
+        order = np.random.default_rng(7).permutation(len(q))
+        met = np.zeros(len(q), np.int64)
+        out_q, out_n, at, few, many = [], [], 0, 0, 0
+        while at < len(q) and (few < AUDIT or 0 < many < AUDIT):
+            part = order[at : at + 256]
+            a, b = np.nonzero(q[part] @ self.x.T >= least)
+            out_q.append(part[a])
+            out_n.append(b)
+            met[part] = np.bincount(a[part[a] != b] if q is self.x else a, minlength=len(part))
+            few += int(((met[part] > 0) & (met[part] < FIRST_BEAM)).sum())
+            many += int((met[part] >= FIRST_BEAM).sum())
+            at += len(part)
+        true_q, true_n = np.concatenate(out_q or [np.zeros(0, int)]), np.concatenate(out_n or [np.zeros(0, int)])
+        if at >= len(q):
+            return true_q, true_n
+        seen, rest, beam = order[:at], order[at:], FIRST_BEAM
+        true = true_q * len(self.x) + true_n
+        kinds = [k for k in (seen[(met[seen] > 0) & (met[seen] < FIRST_BEAM)], seen[met[seen] >= FIRST_BEAM]) if len(k)]
+        while beam <= LAST_BEAM:
+            a, b = self.within(q[seen], least, beam)
+            own = np.isin(seen[a] * len(self.x) + b, true)
+            if q is self.x:
+                own &= seen[a] != b
+            got = np.bincount(seen[a[own]], minlength=len(q))
+            if all((got[k] / met[k]).mean() >= RECALL for k in kinds):
+                break
             beam *= 2
+        a, b = self.within(q[rest], least, beam)
+        return np.concatenate((true_q, rest[a])), np.concatenate((true_n, b))
 
 
 def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
