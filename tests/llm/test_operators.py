@@ -12,7 +12,7 @@ from tidewater.llm.decontaminate import cut_contaminated, drop_contaminated, fin
 from tidewater.llm.hnsw import Graph, near_embeddings
 from tidewater.llm.minhash import estimate, near_duplicates, registers
 from tidewater.llm.packing import pack, plan_packing
-from tidewater.llm.pii import find_pii, redact
+from tidewater.llm.pii import KINDS, _spelt, base_spans, find_pii, model_spans, redact, trained
 from tidewater.llm.sharding import compact_arrivals
 from tidewater.llm.substring import remove_repeats
 from tidewater.llm.tokenfiles import position_ids, read_packed, write_packed
@@ -193,6 +193,19 @@ def test_embeddings(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
 
 
+def test_pii_candidates_anywhere():
+    weights = trained()
+    found = lambda t: [(KINDS[k], t[s:e]) for s, k, e in model_spans(t, base_spans(t), weights)]
+    assert found("bob at example dot com") == found("bob at example dot com [at]") == [("email", "bob at example dot com")]
+    for n in (3, 10, 11, 12, 40, 3000):
+        assert found("rows " + " ".join(str(k % 97) for k in range(n)) + " (414) 555-7134")[-1] == ("phone", "(414) 555-7134")
+    whole = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}")
+    r = random.Random(8)
+    for _ in range(20000):
+        t = "".join(r.choice(("a", "bob", "é", ".", " ", " ", "(at)", "[at]", " at ", "at", "(dot)", " dot ", "dot", "x" * 40)) for _ in range(12))
+        assert list(_spelt(t, 0, len(t))) == [m.span() for m in whole.finditer(t)]
+
+
 @pytest.mark.parametrize("paired", [40, 900])
 def test_links_beside_a_hot_group(paired):
     g = np.random.default_rng(4)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,8 +34,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Runs of digit groups with short separators, and addresses whose signs are spelt out.
-_RUN = re.compile(r"\(?[0-9]{1,19}(?:[ .()/-]{1,2}[0-9]{1,19}){1,11}")
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}")
+_RUN = re.compile(r"\(?[0-9]{1,19}(?:[ .()/-]{1,2}[0-9]{1,19})+")
+#: From the at sign on; up to 64 signs of _LOCAL and a space may stand before it.
+_SPELT = re.compile(r"(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}")
 #: The sign and the country of a phone number.
 _LEAD = re.compile(r"\+(?:[0-9]{1,3}[ .-]{1,2})?$")
 _UNIT = re.compile(r"[0-9]+|\((?:at|dot)\)|\[(?:at|dot)\]|\b(?:at|dot)\b|[A-Za-z]+|[^0-9A-Za-z]")
@@ -105,27 +107,31 @@ def _segments(units: list[str]):
                     yield i, j
 
 
-def _scores(units: list[str], weights: dict) -> list[tuple[int, int, int, float, list[str]]]:
-    out = []
-    for i, j in _segments(units):
+def _scored(own: list[tuple[int, int]], units: list[str], weights: dict):
+    for i, j in own:
         features = span_features(units, i, j)
         for k in range(len(LABELS)):
-            out.append((i, j, k, sum(weights.get((k, f), 0.0) for f in features) + weights.get((k, ""), -2.0), features))
-    return out
+            yield i, j, k, sum(weights.get((k, f), 0.0) for f in features) + weights.get((k, ""), -2.0), features
+
+
+def _scores(units: list[str], weights: dict) -> list[tuple[int, int, int, float, list[str]]]:
+    return list(_scored(list(_segments(units)), units, weights))
 
 
 def decode(units: list[str], weights: dict) -> list[tuple[int, int, int]]:
-    """The best segmentation: labelled segments (i, j, label); other units stand alone and score nothing."""
+    """The best segmentation: labelled segments (i, j, label); other units stand alone and score nothing.
+
+    Scores are worked out where they are used, so a run of any length holds only its best ends.
+    """
     n = len(units)
     best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
-    ending: dict[int, list] = {}
-    for s in _scores(units, weights):
-        ending.setdefault(s[1], []).append(s)
     for j in range(1, n + 1):
         best[j], back[j] = best[j - 1], (j - 1, None)
-        for i, _, k, score, _ in ending.get(j, []):
-            if best[i] + score > best[j]:
-                best[j], back[j] = best[i] + score, (i, k)
+        if units[j - 1].isalnum():
+            own = [(i, j) for i in range(max(0, j - 2 * MAX_UNITS), j - 1) if units[i].isalnum() or units[i] == "("]
+            for i, _, k, score, _ in _scored(own, units, weights):
+                if best[i] + score > best[j]:
+                    best[j], back[j] = best[i] + score, (i, k)
     out, j = [], n
     while j:
         i, k = back[j]
@@ -213,25 +219,48 @@ def _gaps(n: int, base: list[tuple[int, int, int]]):
         yield at, n
 
 
+def _spelt(text: str, a: int, b: int):
+    """(start, end) of the spelt-out addresses in text[a:b]; looks to the left of at signs, so plain words cost little."""
+    at = a
+    while m := _SPELT.search(text, at, b):
+        end = m.start()
+        if end > a and text[end - 1] == " ":
+            end -= 1
+        start = end
+        while start > a and end - start < 64 and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < end:
+            yield start, m.end()
+            a = at = m.end()
+        else:
+            at = m.start() + 1
+
+
 def model_spans(text: str, base: list[tuple[int, int, int]], weights: dict) -> list[tuple[int, int, int]]:
     """Further spans of the model, none of which overlaps a base span; what stands beside one is decoded by itself."""
     out = []
     digits = _DIGIT.search(text) is not None
-    low = "(at)" in text or "[at]" in text
-    for a, b in _gaps(len(text), base) if digits or low else ():
-        runs = list(_RUN.finditer(text, a, b)) if digits else []
-        if low:
-            runs += _SPELT.finditer(text, a, b)
+    spelt = "(dot)" in text or "[dot]" in text or " dot " in text  # every spelt-out address has one
+    for a, b in _gaps(len(text), base) if digits or spelt else ():
+        runs = [m.span() for m in _RUN.finditer(text, a, b)] if digits else []
+        if spelt:
+            runs += _spelt(text, a, b)
         own = []
-        for m in runs:
-            units = [(u[0], m.start() + u.start(), m.start() + u.end()) for u in _UNIT.finditer(m[0])]
+        for first, last in runs:
+            units = [(u[0], u.start(), u.end()) for u in _UNIT.finditer(text, first, last)]
             for i, j, k in decode([u[0] for u in units], weights):
                 start, kind, end = units[i][1], KINDS.index(LABELS[k]), units[j - 1][2]
                 if kind == 3 and (lead := _LEAD.search(text, max(a, start - 6), start)):
                     start = lead.start()
-                if not any(start < e and s < end for s, _, e in own):
-                    own.append((start, kind, end))
-        out += own
+                own.append((start, kind, end))
+        # where spans overlap the first found counts, so a span is held against its neighbours among those kept
+        starts, kept = [], []
+        for span in own:
+            p = bisect_right(starts, span[0])
+            if (p == 0 or kept[p - 1][2] <= span[0]) and (p == len(kept) or span[2] <= kept[p][0]):
+                starts.insert(p, span[0])
+                kept.insert(p, span)
+        out += kept
     return out
 
 
