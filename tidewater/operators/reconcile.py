@@ -93,8 +93,11 @@ def near_untracked(near: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def to_pull(far: DataFrame, marks: DataFrame) -> DataFrame:
-    """Far messages beyond the high-water mark that are not deleted already, and where each is placed."""
-    new = far.join(marks.select(*FOLDER, "maxpulled"), FOLDER).where((F.col("uid") > F.col("maxpulled")) & ~fl.has(F.col("flags"), fl.DELETED))
+    """Far messages beyond the high-water mark that are not deleted already, and where each is placed.
+
+    A folder without a mark was never synced: its mark is 0.
+    """
+    new = far.join(marks.select(*FOLDER, "maxpulled"), FOLDER, "left").where((F.col("uid") > F.coalesce("maxpulled", F.lit(0))) & ~fl.has(F.col("flags"), fl.DELETED))
     return new.select(*FOLDER, "uid", "flags", F.when(fl.has(F.col("flags"), fl.SEEN), "cur").otherwise("new").alias("place"))
 
 
@@ -106,7 +109,7 @@ def assign_uids(pull: DataFrame, push: DataFrame, marks: DataFrame) -> DataFrame
     """Near uids in the order of pulls, then pushes, from each folder's last uid on."""
     both = pull.select(*FOLDER, F.lit(1).alias("kind_order"), "uid", F.lit("").alias("name")).unionByName(push.select(*FOLDER, F.lit(2).alias("kind_order"), F.lit(None).cast("long").alias("uid"), "name"))
     rank = F.row_number().over(Window.partitionBy(*FOLDER).orderBy("kind_order", "uid", "name"))
-    return both.withColumn("k", rank).join(marks.select(*FOLDER, "uvlast"), FOLDER).select(*FOLDER, "kind_order", "uid", "name", (F.col("uvlast") + F.col("k")).alias("near_uid"))
+    return both.withColumn("k", rank).join(marks.select(*FOLDER, "uvlast"), FOLDER, "left").select(*FOLDER, "kind_order", "uid", "name", (F.coalesce("uvlast", F.lit(0)) + F.col("k")).alias("near_uid"))
 
 
 def batches(rows: DataFrame, by: list[str], size: int = BATCH) -> DataFrame:
@@ -148,17 +151,52 @@ def shown(actions: DataFrame, most: int = SHOWN) -> DataFrame:
     return ranked.where(F.col("line") <= most).select(*FOLDER, "line", "kind", "target", "more")
 
 
-def summary(out: DataFrame, actions: DataFrame) -> DataFrame:
-    """Counts for each folder and what a status line says; zero parts are left out."""
+def _part(n: str, text: str):
+    return F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {text}")))
+
+
+def summary(out: DataFrame, actions: DataFrame, channels: DataFrame) -> DataFrame:
+    """Counts for each folder and what a status line says; zero parts are left out.
+
+    Every folder of channels has a row, with or without pairs.  `folder_report` has the other parts of the line.
+    """
     c = F.col("code")
     counts = out.groupBy(*FOLDER).agg(F.count("*").alias("alive"), F.count_if(c.isin("A", "C1", "C2", "C3")).alias("vgone"), F.count_if(c.startswith("D")).alias("lgone"), F.count_if(c == "Gd").alias("tdrift"))
     acts = actions.groupBy(*FOLDER).agg(F.count("*").alias("actions"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("pull", "push")])
-    x = counts.join(acts, FOLDER, "left").na.fill(0, ["actions", "pull", "push"])
-    part = lambda n, text: F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {text}")))
-    line = F.concat_ws(", ", part("pull", "to pull"), part("push", "to push"), part("vgone", "gone remote"), part("lgone", "gone local"), part("tdrift", "trashed, kept"))
+    x = channels.select(*FOLDER).join(counts, FOLDER, "left").join(acts, FOLDER, "left").na.fill(0, ["alive", "vgone", "lgone", "tdrift", "actions", "pull", "push"])
+    line = F.concat_ws(", ", _part("pull", "to pull"), _part("push", "to push"), _part("vgone", "gone remote"), _part("lgone", "gone local"), _part("tdrift", "trashed, kept"))
     return x.withColumn("line", F.when(line == "", "in sync").otherwise(line)).withColumn("rc", F.when(F.col("actions") > 0, 1).otherwise(0))
 
 
+def folder_report(out: DataFrame, actions: DataFrame, channels: DataFrame, pairs: DataFrame, near: DataFrame, far: DataFrame, marks: DataFrame) -> DataFrame:
+    """As `summary`, with flag updates, untracked messages, ghosts and a missing state, worded as the reference does.
+
+    far is the whole listing, new messages with it; those up to a folder's mark that have no pair are untracked.
+    """
+    known = marks.select(*FOLDER, "maxpulled").withColumn("present", F.lit(1))
+    old = far_untracked(far, pairs).join(known, FOLDER).where("uid <= maxpulled")
+    parts = {"far_flags": far_flag_updates(out), "near_flags": near_flag_updates(out), "untracked": near_untracked(near, pairs), "remuntracked": old, "ghosts": ghosts(far, pairs)}
+    x = summary(out, actions, channels).drop("line", "rc").join(known.select(*FOLDER, "present"), FOLDER, "left")
+    for name, rows in parts.items():
+        x = x.join(rows.groupBy(*FOLDER).agg(F.count("*").alias(name)), FOLDER, "left")
+    x = x.na.fill(0, ["present", *parts])
+    said = F.concat_ws(
+        ", ",
+        _part("pull", "to pull"),
+        _part("push", "to push"),
+        _part("far_flags", "flag updates for remote"),
+        _part("near_flags", "flag updates for local"),
+        _part("vgone", "gone remote"),
+        _part("lgone", "gone local"),
+        _part("untracked", "local untracked (skipped)"),
+        _part("remuntracked", "remote untracked (skipped)"),
+        _part("tdrift", "trashed, kept (no expunge here)"),
+        F.when(F.col("present") == 0, "no sync state"),
+    )
+    line = F.concat_ws(", ", F.when(said == "", "in sync").otherwise(said), _part("ghosts", "ghost-deleted remote"))
+    return x.withColumn("line", line).withColumn("rc", (F.col("actions") + F.col("vgone") + F.col("lgone") > 0).cast("int")).drop("present")
+
+
 def changed_folders(stats: DataFrame, baseline: DataFrame) -> DataFrame:
     """Folders whose counters differ from the baseline; a modseq of 0 is no cursor and never counts as unchanged."""
     same = stats.where("modseq > 0").join(baseline, [*FOLDER, "exists", "uidnext", "modseq"], "left_semi").select(*FOLDER)

@@ -71,7 +71,7 @@ _plan(
  CASE WHEN actions > 0 THEN 1 ELSE 0 END rc
  FROM (SELECT account, channel, count(*) alive, count(*) FILTER (code IN ('A','C1','C2','C3')) vgone, count(*) FILTER (code LIKE 'D%') lgone, count(*) FILTER (code = 'Gd') tdrift FROM outc GROUP BY ALL) c
  LEFT JOIN (SELECT account, channel, count(*) actions, count(*) FILTER (kind = 'pull') pull, count(*) FILTER (kind = 'push') push FROM acts GROUP BY ALL) a ON (c.account,c.channel)=(a.account,a.channel)""",
-    lambda s: rc.summary(_out(s), _acts(s)),
+    lambda s: rc.summary(_out(s), _acts(s), s.channels),
 )
 
 
