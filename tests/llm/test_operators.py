@@ -13,6 +13,7 @@ from tidewater.llm.hnsw import Graph, near_embeddings
 from tidewater.llm.minhash import estimate, near_duplicates, registers
 from tidewater.llm.packing import pack, plan_packing
 from tidewater.llm.pii import KINDS, _spelt, base_spans, find_pii, model_spans, redact, trained
+from tidewater.llm.quality import train
 from tidewater.llm.sharding import compact_arrivals
 from tidewater.llm.substring import remove_repeats
 from tidewater.llm.tokenfiles import position_ids, read_packed, write_packed
@@ -147,6 +148,14 @@ def test_token_files(docs):
     assert read_packed(write_packed(docs.limit(0))).count() == 0
 
 
+def test_quality_of_few_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4)] + [(4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(4)] + [(4, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    bias = train(docs, labels).bias
+    assert -6 < bias[0] < -1 and 0.5 < bias[1] < 3
+    assert train(docs, labels.limit(0)).bias.tolist() == [-6, -6]
+
+
 def test_pii(spark):
     rows = [(1, "é a.b@c.de, 10.0.0.255 x 1.2.3.999 4539 1488 0343 6467 +1 (414) 555-7134"), (2, None), (3, ""), (4, "call (414) 555-7134 or ann (at) example (dot) com now"), (5, "2024-01-02 and 12.50")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("SPANS", F.lit(1))

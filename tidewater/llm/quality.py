@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())] + [pa.array([seen[h][f] for f in part], pa.int64()) for h in range(3)], names=["f", "n", "toxic", "poor"])
 
     counts = sample.mapInArrow(count, "f binary, n long, toxic long, poor long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "poor")])
-    counts = counts.where("n >= 8").persist()
+    counts = counts.where((F.col("n") >= 8) | (F.col("f") == F.lit(b"n"))).persist()  # the total counts however small
     try:
         total = counts.where(F.col("f") == F.lit(b"n")).first()
         if total is None or not total["n"]:
