@@ -5,7 +5,10 @@ sample of labelled documents, gives each document's own evidence.  Its mean over
 all documents of a host, and of a path within the host, is shrunk toward the
 level above: a site's weight is its number of documents against a prior strength
 that the spread between sites gives by the method of moments.  The document's
-log-odds and the shrunk log-odds of its site add up to its posterior.
+log-odds and a limited part of its site's add up to its posterior: the site's
+shrunk log-odds, less the global ones, are held within SITE_LIMIT and weighted
+by SITE_WEIGHT, so a site moves a document by 0.75 at most.  This is not a plain
+sum, and a site with much evidence counts no more than that.
 """
 
 from __future__ import annotations
