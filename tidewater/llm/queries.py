@@ -24,4 +24,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}  # the digests, trained models and files have no SQL form; tests use brute force
+ORACLE_SQL: dict[str, str] = {}  # the digests, trained models and files have no SQL form; tests use brute force or known cases, op8's only its training on few labels
