@@ -32,6 +32,7 @@ def to_imap(flags: Column) -> Column:
 
 
 def from_imap(text: Column) -> Column:
+    """Each flag whose name stands anywhere in the text, also as the beginning of a longer word."""
     text = F.coalesce(text, F.lit(""))
     return sum((F.when(text.contains(c), b).otherwise(0) for c, b in NAMES), F.lit(0)).cast("int")
 

@@ -1,58 +1,53 @@
-"""Mailbox snapshots worked out from the orders table by fixed arithmetic on its keys."""
+"""Mailbox snapshots worked out from the orders table by fixed arithmetic on its keys.
+
+The statements run as they are in Spark and in DuckDB, so both sides of a
+comparison start from the same rows; what is worked out from them is written
+twice, once in the operators and once in SQL.  Folders are (customer % 3, order
+% 4).  Account 0 has no usable baseline and gets full listings; account 1 gets
+deltas; account 2's modseq has not moved, so only its counters speak.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidewater.operators.reconcile import Mailbox
 
 NEW_FAR = 10_000_000
+_FAR = "(((st | CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) - (st & CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)) | CASE WHEN k % 19 = 0 THEN 8 ELSE 0 END)"
+_NEAR = "(((st | CASE WHEN k % 6 = 1 THEN 4 ELSE 0 END) - (st & CASE WHEN k % 6 = 1 THEN 4 ELSE 0 END)) | CASE WHEN k % 23 = 0 THEN 8 ELSE 0 END)"
+_LOCAL = "k % 14 = 5 AND k % 11 = 0"
 
+#: In the order in which they build on each other.
+TABLES = {
+    "o": "SELECT o_orderkey AS k, CAST(o_custkey % 3 AS INT) AS account, CAST(o_orderkey % 4 AS INT) AS channel, CAST((o_orderkey * 7) & 55 AS INT) AS st FROM orders",
+    "channels": "SELECT DISTINCT account, channel, channel <> 3 AS expunge FROM o",
+    "pairs": "SELECT account, channel, CASE WHEN k % 13 <> 0 THEN k + 1 END AS fuid, CASE WHEN k % 17 <> 0 THEN k + 1 END AS nuid, st AS flags FROM o WHERE k % 11 <> 0 AND NOT (account = 2 AND channel = 2)",
+    "far": f"SELECT account, channel, k + 1 AS uid, CAST({_FAR} AS INT) AS flags, k AS modseq FROM o WHERE CASE WHEN account = 2 AND channel = 1 THEN k % 11 <> 0 AND k % 13 <> 0 ELSE k % 5 <> 0 END UNION ALL SELECT account, channel, k + 1 + {NEW_FAR} AS uid, CAST({_FAR} AS INT) AS flags, k AS modseq FROM o WHERE k % 10 = 3",
+    "near": f"SELECT account, channel, CASE WHEN NOT ({_LOCAL}) THEN k + 1 END AS uid, CAST({_NEAR} AS INT) AS flags, '17.' || CAST(k AS STRING) || '.h' || CASE WHEN {_LOCAL} THEN '' ELSE ',U=' || CAST(k + 1 AS STRING) END || CASE WHEN k % 2 = 0 THEN ':2,X' ELSE '' END AS name, CASE WHEN k % 4 < 2 THEN 1 ELSE 0 END AS indir FROM o WHERE k % 7 <> 0",
+    "state": "SELECT account, channel, NOT (account = 2 AND channel = 2) AS present, 7 AS fuidval, CASE WHEN account = 2 AND channel = 2 THEN 0 ELSE 9 END AS nuidval, CASE WHEN account = 2 AND channel = 2 THEN 0 ELSE max(k) + 1 END AS maxpulled, max(k) + 1 AS maxpushed, CASE WHEN account = 0 AND channel = 1 THEN 10 WHEN account = 2 AND channel = 2 THEN 0 ELSE 9 END AS uvval, max(k) + 1 AS uvlast, account = 1 AND channel = 3 AS journal FROM o GROUP BY account, channel",
+    "stats": 'SELECT account, channel, count(*) AS "exists", CASE WHEN account = 1 AND channel = 1 THEN 8 ELSE 7 END AS uidvalidity, max(uid) + 1 AS uidnext, CASE WHEN account = 2 THEN 500 ELSE max(modseq) + 1 END AS modseq FROM far GROUP BY account, channel',
+    "mtimes": "SELECT account, channel, 100 + channel AS curs, 5 AS curn, 200 AS news, 6 AS newn FROM channels",
+    "baseline": 'SELECT s.account, s.channel, CASE WHEN s.account = 0 THEN 1 ELSE 2 END AS version, 7 AS uidval, s.uidnext, s."exists" + CASE WHEN s.account = 2 AND s.channel = 3 THEN 0 ELSE 1 END AS "exists", CASE WHEN s.account = 2 THEN s.modseq ELSE CAST(floor(s.modseq / 2.0) AS BIGINT) END AS modseq, CASE WHEN s.account = 2 AND s.channel = 1 THEN 0 ELSE 3 END AS ghosts, 5 AS nlocal, 100 + s.channel AS curs, 5 AS curn, 200 AS news, 6 AS newn FROM stats s WHERE NOT (s.account = 0 AND s.channel = 3)',
+    "appended": f"SELECT account, channel, name, CAST(substr(name, 4, position('.h' IN name) - 4) AS BIGINT) + {3 * NEW_FAR} AS fuid FROM near WHERE uid IS NULL AND CAST(substr(name, 4, position('.h' IN name) - 4) AS BIGINT) % 3 <> 0",
+    "fetched": f"SELECT account, channel, uid, flags | CASE WHEN modseq % 7 = 0 THEN 8 ELSE 0 END AS flags FROM far WHERE uid > {NEW_FAR}",
+}
 
-class Snapshots:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "cast(o_custkey % 3 AS int) AS account", "cast(o_orderkey % 4 AS int) AS channel", "cast(o_orderkey * 7 & 55 AS int) AS st")
-        self.orders = o
-        self.channels: DataFrame = o.select("account", "channel").distinct().withColumn("expunge", F.col("channel") != 3)
-        self.pairs = o.where("k % 11 <> 0").selectExpr("account", "channel", "if(k % 13 = 0, null, k + 1) AS fuid", "if(k % 17 = 0, null, k + 1) AS nuid", "st AS flags")
-        flags = "cast((st ^ if(k % 3 = 0, 1, 0)) | if(k % 19 = 0, 8, 0) AS int) AS flags"
-        self.far = o.where("k % 5 <> 0").selectExpr("account", "channel", "k + 1 AS uid", flags)
-        self.far_new = self.far.unionByName(o.where("k % 10 = 3").selectExpr("account", "channel", f"k + 1 + {NEW_FAR} AS uid", flags))
-        near = "cast((st ^ if(k % 6 = 1, 4, 0)) | if(k % 23 = 0, 8, 0) AS int) AS flags"
-        self.near = o.where("k % 7 <> 0").selectExpr("account", "channel", "if(k % 14 = 5 and k % 11 = 0, null, k + 1) AS uid", near, "concat('m', k) AS name")
-        self.marks = o.groupBy("account", "channel").agg((F.max("k") + 1).alias("maxpulled"), (F.max("k") + 1).alias("uvlast"))
+#: The same in DuckDB, as common table expressions.
+SQL = ",\n".join(f"{name} AS ({body})" for name, body in TABLES.items())
 
 
-#: The same in DuckDB, as common table expressions.
-SQL = f"""
-o AS (SELECT o_orderkey k, CAST(o_custkey % 3 AS INT) account, CAST(o_orderkey % 4 AS INT) channel, CAST((o_orderkey*7) & 55 AS INT) st FROM orders),
-channels AS (SELECT DISTINCT account, channel, channel <> 3 AS expunge FROM o),
-pairs AS (SELECT account, channel, CASE WHEN k%13<>0 THEN k+1 END fuid, CASE WHEN k%17<>0 THEN k+1 END nuid, st flags FROM o WHERE k%11<>0),
-far AS (SELECT account, channel, k+1 uid, CAST(xor(st, CASE WHEN k%3=0 THEN 1 ELSE 0 END) | (CASE WHEN k%19=0 THEN 8 ELSE 0 END) AS INT) flags, k FROM o WHERE k%5<>0),
-far_new AS (SELECT account, channel, uid, flags FROM far UNION ALL SELECT account, channel, k+1+{NEW_FAR}, CAST(xor(st, CASE WHEN k%3=0 THEN 1 ELSE 0 END) | (CASE WHEN k%19=0 THEN 8 ELSE 0 END) AS INT) FROM o WHERE k%10=3),
-near AS (SELECT account, channel, CASE WHEN NOT (k%14=5 AND k%11=0) THEN k+1 END uid, CAST(xor(st, CASE WHEN k%6=1 THEN 4 ELSE 0 END) | (CASE WHEN k%23=0 THEN 8 ELSE 0 END) AS INT) flags, 'm' || k AS name FROM o WHERE k%7<>0),
-marks AS (SELECT account, channel, max(k)+1 maxpulled, max(k)+1 uvlast FROM o GROUP BY ALL),
-j AS (SELECT p.*, f.flags ff, n.flags nf, c.expunge FROM pairs p LEFT JOIN near n ON p.account=n.account AND p.channel=n.channel AND p.nuid=n.uid LEFT JOIN far f ON p.account=f.account AND p.channel=f.channel AND p.fuid=f.uid JOIN channels c ON (p.account,p.channel)=(c.account,c.channel)),
-coded AS (SELECT *, CASE
- WHEN fuid IS NOT NULL AND ff IS NULL AND nf IS NULL THEN 'A'
- WHEN fuid IS NULL AND nuid IS NOT NULL AND nf IS NULL THEN 'B'
- WHEN fuid IS NOT NULL AND ff IS NULL THEN CASE WHEN expunge THEN 'C1' WHEN nf & 8 = 0 THEN 'C2' ELSE 'C3' END
- WHEN ff IS NOT NULL AND nuid IS NOT NULL AND nf IS NULL THEN (CASE WHEN expunge THEN 'D1' ELSE 'D2' END) || (CASE WHEN ff & 8 = 0 THEN '+T' ELSE '' END)
- WHEN ff IS NULL OR nf IS NULL THEN 'E'
- WHEN expunge AND (ff | nf) & 8 <> 0 THEN CASE WHEN ff & 8 = 0 THEN 'F+T' ELSE 'F' END
- WHEN (ff & 8) <> (nf & 8) THEN 'Gd' ELSE 'G' END code FROM j),
-outc AS (SELECT *, CASE WHEN code IN ('G','Gd') THEN xor(flags & 55, xor(ff & 55, flags & 55) | xor(nf & 55, flags & 55)) END merged FROM coded),
-upd AS (SELECT account, channel, fuid, CASE WHEN code IN ('G','Gd') THEN merged & (~(ff & 55)) WHEN code LIKE '%+T' THEN 8 ELSE 0 END add_mask, CASE WHEN code IN ('G','Gd') THEN (ff & 55) & (~merged) ELSE 0 END rem_mask FROM outc),
-farupd AS (SELECT * FROM upd WHERE add_mask <> 0 OR rem_mask <> 0),
-nearupd AS (SELECT * FROM (SELECT account, channel, nuid, CASE WHEN code='C2' THEN nf | 8 WHEN code IN ('G','Gd') AND merged <> (nf & 55) THEN merged | (nf & 8) END new_flags FROM outc) WHERE new_flags IS NOT NULL),
-pull AS (SELECT f.account, f.channel, uid, flags, CASE WHEN flags & 1 <> 0 THEN 'cur' ELSE 'new' END place FROM far_new f JOIN marks m ON (f.account,f.channel)=(m.account,m.channel) WHERE uid > maxpulled AND flags & 8 = 0),
-push AS (SELECT account, channel, name, flags & 55 flags FROM near WHERE uid IS NULL),
-ndel AS (SELECT account, channel, nuid FROM outc WHERE code IN ('C1','F','F+T')),
-expu AS (SELECT account, channel, fuid FROM outc WHERE code IN ('D1','D1+T','F','F+T')),
-acts AS (SELECT account, channel, 'pull' kind, 1 kind_order, CAST(uid AS VARCHAR) target FROM pull
- UNION ALL SELECT account, channel, 'push', 2, name FROM push
- UNION ALL SELECT account, channel, 'far_add', 3, CAST(fuid AS VARCHAR) FROM farupd WHERE add_mask <> 0
- UNION ALL SELECT account, channel, 'far_remove', 4, CAST(fuid AS VARCHAR) FROM farupd WHERE rem_mask <> 0
- UNION ALL SELECT account, channel, 'near_flags', 5, CAST(nuid AS VARCHAR) FROM nearupd
- UNION ALL SELECT account, channel, 'near_delete', 6, CAST(nuid AS VARCHAR) FROM ndel
- UNION ALL SELECT account, channel, 'expunge', 7, CAST(fuid AS VARCHAR) FROM expu)
-"""
+class Snapshots:
+    """The tables as DataFrames; `box` is a status run over them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, sync: bool = False, force: bool = False):
+        made: dict[str, DataFrame] = {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")}
+        for name, body in TABLES.items():
+            text = body.replace('"', "`")
+            used = [t for t in made if f"FROM {t}" in text]
+            for t in used:
+                text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+            made[name] = spark.sql(text, **{t: made[t] for t in used})
+        self.tables = made
+        self.appended, self.fetched = made["appended"], made["fetched"]
+        self.box = Mailbox(**{t: made[t] for t in ("channels", "pairs", "near", "far", "state", "stats", "baseline", "mtimes")}, sync=sync, force=force)
