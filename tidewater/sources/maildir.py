@@ -1,15 +1,30 @@
-"""Maildir folders and text state files as Python data sources; message bodies are not opened."""
+"""Maildir folders and the small text files beside them; message bodies are not opened."""
 
 from __future__ import annotations
 
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-_UID = re.compile(r",U=(\d+)")
+_DIGITS = re.compile(r"[0-9]*")
 _BITS = {"S": 1, "R": 2, "F": 4, "T": 8, "D": 16, "P": 32}
+_U32, _U64 = (1 << 32) - 1, (1 << 64) - 1
+
+
+def letter_bits(letters: str) -> int:
+    """The flags of letters in any order; unknown letters count for nothing."""
+    return sum(_BITS[c] for c in set(letters) if c in _BITS)
+
+
+def parse_name(name: str) -> tuple[int | None, int]:
+    """uid and flags of a file name: the number after the first ,U= (none and 0 are absent) and the letters after the first :2,."""
+    _, _, after = name.partition(",U=")
+    digits = int(_DIGITS.match(after)[0] or "0")
+    _, _, letters = name.partition(":2,")
+    return (digits & _U32 if digits <= _U64 else _U32) or None, letter_bits(letters)
 
 
 class _Part(InputPartition):
@@ -25,14 +40,10 @@ class MaildirReader(DataSourceReader):
         return [_Part(os.path.join(self.path, d), k) for k, d in enumerate(("cur", "new"))]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        if not os.path.isdir(part.path):
-            return
-        with os.scandir(part.path) as entries:
+        with os.scandir(part.path) as entries:  # a folder that is missing is an error: as an empty one it would look as if all mail were deleted
             for e in entries:
                 if not e.name.startswith("."):
-                    m = _UID.search(e.name)
-                    _, _, letters = e.name.partition(":2,")
-                    yield (int(m[1]) or None) if m else None, sum(_BITS[c] for c in set(letters) if c in _BITS), e.name, part.indir
+                    yield *parse_name(e.name), e.name, part.indir
 
 
 class Maildir(DataSource):
@@ -49,20 +60,75 @@ class Maildir(DataSource):
         return MaildirReader(self.options["path"])
 
 
-def read_state(path: str) -> tuple[dict[str, int], list[tuple]]:
-    """A text state file: its numeric headers and its (fuid, nuid, flags) rows; 0 is absent, short rows are skipped."""
-    headers, rows = {}, []
+@dataclass
+class FolderState:
+    """A state file: its headers and its pairs (fuid, nuid, flags); absent numbers are null in pairs, 0 in headers."""
+
+    present: bool = False
+    fuidval: int = 0
+    nuidval: int = 0
+    maxpulled: int = 0
+    maxpushed: int = 0
+    pairs: list[tuple[int | None, int | None, int]] = field(default_factory=list)
+
+
+#: The headers as the file names them.
+HEADERS = {"FarUidValidity": "fuidval", "NearUidValidity": "nuidval", "MaxPulledUid": "maxpulled", "MaxPushedUid": "maxpushed"}
+_PAIR = re.compile(r"\s*(\d+)\s+(\d+)(?:\s+(\S+))?")
+
+
+def read_state(path: str) -> FolderState:
+    """A folder's state file; a missing one is a folder never synced.  Unknown headers and rows with fewer than two numbers are skipped."""
+    out = FolderState()
+    if not os.path.exists(path):
+        return out
+    out.present, inside = True, True
+    with open(path, encoding="utf-8", newline="\n") as source:
+        for line in source:
+            if inside:
+                if line[0] in "\r\n":
+                    inside = False
+                elif (m := re.match(r"(\w+)\s+(\d+)", line)) and m[1] in HEADERS:
+                    setattr(out, HEADERS[m[1]], int(m[2]) & _U32)
+            elif m := _PAIR.match(line):
+                out.pairs.append(((int(m[1]) & _U32) or None, (int(m[2]) & _U32) or None, letter_bits(m[3] or "")))
+    return out
+
+
+def read_uid_validity(path: str) -> tuple[int, int] | None:
+    """The validity and the last uid; null where the file is missing, an error where it does not hold two numbers."""
+    if not os.path.exists(path):
+        return None
+    with open(path, encoding="utf-8") as source:
+        m = re.match(r"\s*(\d+)\s+(\d+)", source.read())
+    if m is None:
+        raise ValueError(f"cannot parse {path}")
+    return int(m[1]), int(m[2])
+
+
+#: The lines of a baseline file and what they hold.
+BASELINE = {"UidValidity": ("uidval",), "UidNext": ("uidnext",), "Exists": ("exists",), "Modseq": ("modseq",), "Ghosts": ("ghosts",), "Local": ("nlocal",), "CurMtime": ("curs", "curn"), "NewMtime": ("news", "newn")}
+BASELINE_HEAD, BASELINE_VERSION = "HmlState", 2
+
+
+def read_baseline(path: str) -> dict[str, int] | None:
+    """A baseline's numbers with its version; null where the file is missing.  Only version 2 is usable; `folders` looks at it."""
     if not os.path.exists(path):
-        return headers, rows
+        return None
+    out = {"version": 0} | {c: 0 for names in BASELINE.values() for c in names}
     with open(path, encoding="utf-8") as source:
-        head, _, body = source.read().partition("\n\n")
-    for line in head.splitlines():
-        key, _, value = line.partition(" ")
-        if value.strip().isdigit():
-            headers[key] = int(value)
-    for line in body.splitlines():
-        fields = line.split()
-        if len(fields) >= 2 and fields[0].isdigit() and fields[1].isdigit():
-            letters = fields[2] if len(fields) > 2 else ""
-            rows.append((int(fields[0]) or None, int(fields[1]) or None, sum(_BITS[c] for c in set(letters) if c in _BITS)))
-    return headers, rows
+        for line in source:
+            key, *numbers = line.split()
+            names = ("version",) if key == BASELINE_HEAD else BASELINE.get(key, ())
+            for name, number in zip(names, numbers):
+                out[name] = int(number)
+    return out
+
+
+def folder_mtimes(path: str) -> dict[str, int]:
+    """Seconds and nanoseconds of the last change of cur and new; to be read before the scan."""
+    out = {}
+    for sub, a, b in (("cur", "curs", "curn"), ("new", "news", "newn")):
+        at = os.stat(os.path.join(path, sub)).st_mtime_ns
+        out[a], out[b] = divmod(at, 10**9)
+    return out
