@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm import fsio
-from tidewater.llm.common import Scratch, quoted, slices
+from tidewater.llm.common import Scratch, bound_batches, partitions_for, quoted, slices, tidy
 from tidewater.llm.tokens import default_vocabulary, word_tokenizer
 
 MAX_LEN = 2048
@@ -121,7 +121,7 @@ def plan_packing(histogram: dict[int, int], max_len: int = MAX_LEN) -> Plan:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, with_ids: bool = False, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most max_len ids: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
+    """Pieces of at most max_len ids: doc_id, piece, start, length, and ids_crc32 or, if asked for, the ids themselves.
 
     A document is its ids and then `end`; a null text is an empty one.  Only a
     longer document is cut, every max_len ids; nothing is lost.  Each input row
@@ -129,9 +129,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, with_
     little-endian unsigned 16-bit numbers, or 32-bit ones for a large vocabulary,
     compressed by zstd so that shuffles move less.
     """
-    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
-    if with_ids:
-        fields.append(T.StructField("ids", T.BinaryType()))
+    bound_batches(docs.sparkSession)
+    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]
+    fields.append(T.StructField("ids", T.BinaryType()) if with_ids else T.StructField("ids_crc32", T.LongType()))
 
     def run(batches):
         tokenizer = word_tokenizer(vocabulary)
@@ -140,8 +140,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, with_
         for whole in batches:
             for part in slices(whole, "t"):
                 ids, bounds = tokenizer.encode(part.column(1).to_pylist(), end)
-                data = ids.astype("<u4").tobytes()
-                row, piece, start, length, crc, cut = [], [], [], [], [], []
+                data = ids.astype(kind if with_ids else "<u4").tobytes()
+                width = len(data) // max(1, len(ids))
+                row, piece, start, length, last = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     for k, s in enumerate(range(a, b, max_len)):
                         e = min(b, s + max_len)
@@ -149,11 +150,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, with_
                         piece.append(k)
                         start.append(s - a)
                         length.append(e - s)
-                        crc.append(zlib.crc32(data[4 * s : 4 * e]))
-                        if with_ids:
-                            cut.append(packer.compress(ids[s:e].astype(kind).tobytes()))
-                made = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(made + ([pa.array(cut, pa.binary())] if with_ids else []), names=[f.name for f in fields])
+                        own = data[width * s : width * e]
+                        last.append(packer.compress(own) if with_ids else zlib.crc32(own))
+                made = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(last, pa.binary() if with_ids else pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, names=[f.name for f in fields])
+        tidy()
 
     return docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("binary").alias("t")).mapInArrow(run, T.StructType(fields))
 
@@ -219,7 +220,7 @@ def pack_in_place(pieces: DataFrame, scratch: Scratch, max_len: int = MAX_LEN) -
         if held:
             yield close()
 
-    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(stored, 64 << 20)
     by_part = placed.repartition(n, F.shiftright("row", _PART_BITS)).sortWithinPartitions("row")
     scratch.write(by_part.mapInArrow(store, "part long"), "parts")
     names = [c for c in stored.columns if c != "row"]

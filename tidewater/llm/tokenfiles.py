@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import fsio
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, partitions_for
 from tidewater.llm.packing import MAX_LEN, pack_in_place, token_pieces
 from tidewater.llm.tokens import default_vocabulary, word_tokenizer
 
@@ -54,7 +54,7 @@ def write_packed(docs: DataFrame, root: str | None = None, vocabulary: str | Non
     scratch = Scratch(spark, "tokens")
     root = root or scratch.path("files")
     kind = "<u2" if word_tokenizer(vocabulary).size <= 1 << 16 else "<u4"
-    placed = pack_in_place(token_pieces(docs, vocabulary, max_len, with_ids=True).drop("ids_crc32"), scratch, max_len)
+    placed = pack_in_place(token_pieces(docs, vocabulary, max_len, with_ids=True), scratch, max_len)
     placed = placed.withColumn("block", F.floor(F.col("sequence_id") / BLOCK_ROWS).cast("long"))
 
     def write(batches):
@@ -94,8 +94,7 @@ def write_packed(docs: DataFrame, root: str | None = None, vocabulary: str | Non
             yield close()
 
     wide = placed.select("doc_id", "piece", "start", "length", "sequence_id", "offset", "ids", "block")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = wide.repartition(n, "block").sortWithinPartitions("block", "sequence_id", "offset")
+    sorted_ = wide.repartition(partitions_for(wide, 8 << 20), "block").sortWithinPartitions("block", "sequence_id", "offset")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, sequence_id long, offset long, block long"
     index = scratch.write(sorted_.mapInArrow(write, schema), "index")
     return index.withColumns({"root": F.lit(root), "kind": F.lit(kind)})
@@ -120,8 +119,7 @@ def read_packed(index: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keep, pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "piece", "start", "length", "sequence_id", "offset", "ids_crc32", "boundaries_agree"])
 
     schema = f"doc_id {index.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long, boundaries_agree boolean"
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, schema)
+    return index.repartition(partitions_for(index, 1 << 20), "block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
