@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,17 +20,43 @@ BATCH_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; one of this machine only where all of Spark runs on it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = FALLBACK_DIR
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Deletes what the operators of this program wrote for themselves; results are read from it until then."""
+    for spark, root in _ROOTS:
+        if spark.sparkContext._jsc is not None:
+            fs_delete(spark, root)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Has Spark hand texts to Python in batches of about BATCH_BYTES, not of 10,000 rows whatever their length."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 * BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system, as worker processes are used again."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 class Scratch:
-    """Written tables that cut lineage, below the shared folder.
+    """Written tables that cut lineage, below the shared folder; they go when the program ends, or by drop().
 
     Every table is complete once it is committed, so an executor that is lost
     later costs nothing but the tasks it was running.
@@ -37,6 +65,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _ROOTS.append((spark, self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -122,6 +151,7 @@ def map_text(
     columns that clash with a result column are replaced by it.
     """
     kept = [c for c in without(df, [f.name for f in fields]) if carry is None or c in carry]
+    bound_batches(df.sparkSession)
     source = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], quoted(text_col).cast("binary").alias("t"))
     inner = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(kept)] + [T.StructField(f"r{i}", f.dataType) for i, f in enumerate(fields)])
     names = inner.names
@@ -133,6 +163,7 @@ def map_text(
             for part in slices(whole, "t"):
                 made = work(part.column(n_kept).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n_kept)] + made, names=names)
+        tidy()
 
     out = source.mapInArrow(run, inner)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"r{i}").alias(f.name) for i, f in enumerate(fields)])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tidewater.llm.common import Scratch, lower_words, quoted, slices
+from tidewater.llm.common import Scratch, bound_batches, lower_words, quoted, slices, tidy
 from tidewater.llm.components import connected_components
 
 SHINGLE = 5
@@ -137,6 +137,7 @@ def _sketch(size: int):
                     regs.append(registers(own).tobytes() if len(own) else None)
                 f = np.frombuffer(b"".join(f), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(regs, pa.binary())], names=names)
+        tidy()
 
     return run
 
@@ -183,6 +184,7 @@ def _confirm(pairs: DataFrame, needed: DataFrame, size: int, percent: int) -> Da
                     both = len(np.intersect1d(own, other, assume_unique=True))
                     keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
     return joined.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
@@ -249,6 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_
     kept.  Other columns of docs are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "minhash")
     bands, rows = band_shape(percent / 100)
     source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
