@@ -1,14 +1,14 @@
 """Hierarchical empirical Bayes quality classifier.
 
 A logistic model of words, word beginnings and style, trained here on a bounded
-sample of labelled documents, gives each document's own evidence.  Its mean over
-all documents of a host, and of a path within the host, is shrunk toward the
-level above: a site's weight is its number of documents against a prior strength
-that the spread between sites gives by the method of moments.  The document's
-log-odds and a limited part of its site's add up to its posterior: the site's
-shrunk log-odds, less the global ones, are held within SITE_LIMIT and weighted
-by SITE_WEIGHT, so a site moves a document by 0.75 at most.  This is not a plain
-sum, and a site with much evidence counts no more than that.
+sample of labelled documents, gives each document's own evidence that it is
+toxic and that it is poor.  The share of each kind at a host, and at a path
+within the host, is the mean of that evidence over all its documents, shrunk
+toward the level above: a site's weight is its number of documents against a
+prior strength that the spread between sites gives by the method of moments.
+The shrunk share of a document's path takes the place of the global one as the
+document's prior: its posterior log-odds are its own, less the global prior's,
+plus its path's.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import Scratch, map_text, quoted, slices
+from tidewater.llm.common import Scratch, bound_batches, map_text, quoted, slices, tidy
 from tidewater.llm.decontaminate import words
 
 #: Labelled rows that the document classifier is fitted on, at most; chosen by a hash of their id.
 TRAIN_ROWS = 12_000
 #: Features that each head may use.
 FEATURES = 1_500
-#: What the site's log-odds count beside the document's own, and by how much they may differ from the global ones.
-SITE_WEIGHT, SITE_LIMIT = 0.5, 1.5
+#: Labelled documents that must hold a feature, and the penalty on squared weights.
+SUPPORT, PENALTY = 3, 1e-3
+#: Sites whose posteriors are broadcast; more of them meet the documents by a salted join.
+BROADCAST_SITES, SALTS = 200_000, 16
 HEADS = ("toxic", "poor")
 _EDGES = (0.002, 0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8, 0.95)
 _UPPER, _PUNCT = bytes(range(65, 91)), bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -86,15 +88,20 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Fits both heads on at most `rows` labelled rows; null labels count as 0 (toxic) and 1 (quality).
+    """Fits both heads on at most `rows` labelled documents; null labels count as 0 (toxic) and 1 (quality).
 
+    Of several labels of an id the worse counts, of several texts the least.
     Without labelled rows the model gives log-odds of -6 for everything.
     """
     spark = docs.sparkSession
-    chosen = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), (F.coalesce("toxic", F.lit(0)) == 1).alias("__toxic"), (F.coalesce("quality", F.lit(1)) == 0).alias("__poor"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__toxic", "__poor").limit(rows)
+    bound_batches(spark)
+    scratch = Scratch(spark, "training")
+    worst = [F.max(F.coalesce("toxic", F.lit(0)) == 1).alias("__toxic"), F.max(F.coalesce("quality", F.lit(1)) == 0).alias("__poor")]
+    chosen = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(*worst)
+    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     named = F.broadcast(spark.createDataFrame(chosen.toArrow(), chosen.schema))  # `rows` rows at most
-    sample = docs.select(quoted(id_col).cast("long").alias("__id"), quoted(text_col).cast("binary").alias("t")).join(named, "__id").select("__toxic", "__poor", "t")
+    sample = docs.select(quoted(id_col).cast("long").alias("__id"), quoted(text_col).cast("binary").alias("t")).join(named, "__id")
+    sample = scratch.write(sample.groupBy("__id").agg(F.first("__toxic").alias("__toxic"), F.first("__poor").alias("__poor"), F.min("t").alias("t")).drop("__id"), "sample")
 
     def count(batches):
         seen: dict[int, Counter] = {k: Counter() for k in range(3)}
@@ -112,29 +119,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for k in range(0, len(names), 50_000):
             part = names[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())] + [pa.array([seen[h][f] for f in part], pa.int64()) for h in range(3)], names=["f", "n", "toxic", "poor"])
+        seen.clear()
+        names.clear()
+        tidy()
 
     counts = sample.mapInArrow(count, "f binary, n long, toxic long, poor long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "poor")])
-    counts = counts.where((F.col("n") >= 8) | (F.col("f") == F.lit(b"n"))).persist()  # the total counts however small
-    try:
-        total = counts.where(F.col("f") == F.lit(b"n")).first()
-        if total is None or not total["n"]:
-            return Model({}, np.zeros((0, 2)), np.full(2, -6.0))
-        picked: dict[bytes, int] = {}
-        for head in HEADS:
-            rate = (total[head] + 0.5) / (total["n"] + 1)
-            z = (F.col(head) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-            for r in counts.where(F.col("f") != F.lit(b"n")).orderBy(F.abs(z).desc(), "f").limit(FEATURES).select("f").collect():
-                picked.setdefault(bytes(r["f"]), len(picked))
-    finally:
-        counts.unpersist()
+    counts = counts.where((F.col("n") >= SUPPORT) | (F.col("f") == F.lit(b"n")))  # the total counts however small
+    counts = scratch.write(counts, "counts")
+    total = counts.where(F.col("f") == F.lit(b"n")).agg(*[F.sum(c).alias(c) for c in ("n", *HEADS)]).first()
+    if not total["n"]:
+        scratch.drop("sample", "counts")
+        return Model({}, np.zeros((0, 2)), np.full(2, -6.0))
+    picked: dict[bytes, int] = {}
+    for head in HEADS:
+        rate = (total[head] + 0.5) / (total["n"] + 1)
+        z = (F.col(head) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+        for r in counts.where(F.col("f") != F.lit(b"n")).orderBy(F.abs(z).desc(), "f").limit(FEATURES).select("f").collect():
+            picked.setdefault(bytes(r["f"]), len(picked))
 
     def vectors(batches):
         for whole in batches:
             for part in slices(whole, "t"):
                 at = [sorted(i for f in features(t) if (i := picked.get(f)) is not None) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32()))], names=["toxic", "poor", "at"])
+        tidy()
 
     table = sample.mapInArrow(vectors, "toxic boolean, poor boolean, at array<int>").toArrow()
+    scratch.drop("sample", "counts")
     at = table.column("at").combine_chunks()
     cols, starts = at.values.to_numpy(), at.offsets.to_numpy()
     row = np.repeat(np.arange(len(at)), np.diff(starts))
@@ -145,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for step in range(1, 301):  # Adam on the full sample, with an L2 penalty
             z = np.bincount(row, w[cols], len(y)) + b
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-            g, gb = np.bincount(cols, error[row], len(w)) / len(y) + 1e-4 * w, error.mean()
+            g, gb = np.bincount(cols, error[row], len(w)) / len(y) + PENALTY * w, error.mean()
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             k, c = 1 - 0.9**step, 1 - 0.999**step
@@ -178,51 +189,65 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame, levels: list[list[str]]) -> list[DataFrame]:
-    """For each level the sites' posterior mean of being bad, shrunk toward the level above.
+def _prior_strength(sites: DataFrame, mean: dict[str, float]) -> dict[str, float]:
+    """For each head the strength of a beta prior whose mean and variance are those of the sites' means."""
+    spread = sites.agg(*[(F.sum(F.col("n") * (F.col(h) / F.col("n") - mean[h]) ** 2) / F.sum("n")).alias(h) for h in HEADS]).first()
+    return {h: float(min(max(mean[h] * (1 - mean[h]) / max(spread[h] or 0.0, 1e-9) - 1, 5.0), 1e6)) for h in HEADS}
 
-    scored has the level's columns and p; a level's columns hold those of the level above.
-    The prior strength is that of a beta law whose mean and variance are those of the sites' means.
+
+def site_posteriors(sites: DataFrame, levels: list[list[str]]) -> tuple[DataFrame, dict[str, float]]:
+    """The finest level's sites with their posterior shares (site_toxic, site_poor), and the global shares.
+
+    sites holds for each site of the finest level its documents (n) and the sum
+    of each head's probabilities.  A level's columns hold those of the level
+    above, toward whose posterior it is shrunk; the first is shrunk toward the
+    global share.  What comes to the driver is a few sums.
     """
-    finest = scored.groupBy(*levels[-1]).agg(F.count("*").alias("n"), F.sum("p").alias("s"))
-    top = finest.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = min(max((top["s"] or 0.0) / max(1, top["n"] or 0), 1e-4), 1 - 1e-4)
-    out, above = [], None
+    top = sites.agg(F.sum("n").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).first()
+    mean = {h: min(max((top[h] or 0.0) / max(1, top["n"] or 0), 1e-4), 1 - 1e-4) for h in HEADS}
+    above = None
     for k, level in enumerate(levels):
-        sites = finest.groupBy(*level).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        spread = sites.agg((F.sum(F.col("n") * (F.col("s") / F.col("n") - mean) ** 2) / F.sum("n")).alias("v")).first()["v"] or 0.0
-        strength = float(min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 5.0), 1e6))
-        if above is not None:
-            prior = sites.join(above.select(*levels[k - 1], F.col("posterior").alias("prior")), levels[k - 1])
-        else:
-            prior = sites.withColumn("prior", F.lit(mean))
-        above = prior.withColumn("posterior", (F.col("s") + strength * F.col("prior")) / (F.col("n") + strength)).select(*level, "posterior")
-        out.append(above)
-    return out, mean
+        own = sites.groupBy(*level).agg(F.sum("n").alias("n"), *[F.sum(h).alias(h) for h in HEADS])
+        strength = _prior_strength(own, mean)
+        own = own.join(above, levels[k - 1]) if above is not None else own.withColumns({f"prior_{h}": F.lit(mean[h]) for h in HEADS})
+        shrunk = {h: (F.col(h) + strength[h] * F.col(f"prior_{h}")) / (F.col("n") + strength[h]) for h in HEADS}
+        above = own.select(*level, *[shrunk[h].alias(f"prior_{h}") for h in HEADS])
+    return above.withColumnsRenamed({f"prior_{h}": f"site_{h}" for h in HEADS}), mean
+
+
+_NEW = ["toxic_logit", "poor_logit", "site_toxic", "site_poor", "bad_probability", "accepted"]
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, carry: list[str] | None = None) -> DataFrame:
-    """Adds toxic_logit, poor_logit, site_posterior, bad_probability and accepted.
+    """Adds toxic_logit, poor_logit, site_toxic, site_poor, bad_probability and accepted.
 
     host and path name columns; a null is a site of its own.  Null and empty
     texts are judged by style and site alone.  Every row is judged, repeated
-    ones alike.  Columns of the same name in docs are replaced.
+    ones alike; an empty table gives no rows.  Columns of the same name in docs
+    are replaced.  bad_probability is that of being toxic or poor; a document is
+    accepted below a half.  The evidence is worked out once and written with
+    the carried columns.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
     model = model or train(docs, labels, id_col, text_col)
     site = docs.withColumns({"__host": F.coalesce(quoted(host).cast("string"), F.lit("\x00")), "__path": F.coalesce(quoted(path).cast("string"), F.lit("\x00"))})
-    bad = lambda: F.lit(1.0) - (F.lit(1.0) / (1 + F.exp("toxic_logit"))) * (F.lit(1.0) / (1 + F.exp("poor_logit")))
-    kept = [c for c in docs.columns if carry is None or c in carry]
-    own = evidence(site, model, text_col, [*kept, "__host", "__path"])
-    if text_col not in kept:  # without texts the evidence is small: it is kept, and worked out once
-        own = Scratch(docs.sparkSession, "quality").write(own, "evidence")
-    (_, paths), mean = site_posteriors(own.select("__host", "__path", bad().alias("p")), [["__host"], ["__host", "__path"]])
-    judged = own.join(paths, ["__host", "__path"], "left")
-    limited = F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), _logit(F.col("posterior")) - float(np.log(mean / (1 - mean)))))
-    worst = F.greatest(F.col("toxic_logit"), F.col("poor_logit"))
-    probability = 1 / (1 + F.exp(-(worst + SITE_WEIGHT * limited)))
-    out = judged.withColumn("site_posterior", F.col("posterior")).withColumn("bad_probability", probability).withColumn("accepted", F.col("bad_probability") < 0.5)
-    new = ["toxic_logit", "poor_logit", "site_posterior", "bad_probability", "accepted"]
-    return out.select(*[quoted(c) for c in kept if c.lower() not in new], *new)
+    kept = [c for c in docs.columns if (carry is None or c in carry) and c.lower() not in _NEW]
+    own = scratch.write(evidence(site, model, text_col, [*kept, "__host", "__path"]), "evidence", compression="zstd")
+    p = {h: 1 / (1 + F.exp(-F.col(f"{h}_logit"))) for h in HEADS}
+    sites = scratch.write(own.groupBy("__host", "__path").agg(F.count("*").alias("n"), *[F.sum(p[h]).alias(h) for h in HEADS]), "sites")
+    posterior, mean = site_posteriors(sites, [["__host"], ["__host", "__path"]])
+    posterior = scratch.write(posterior, "posteriors")
+    if posterior.count() <= BROADCAST_SITES:
+        judged = own.join(F.broadcast(posterior), ["__host", "__path"])
+    else:  # a site may hold a third of all documents
+        dealt = own.withColumn("__salt", F.pmod(F.xxhash64(*_NEW[:2], *[quoted(c) for c in kept if docs.schema[c].dataType.typeName() != "map"]), F.lit(SALTS)))
+        copies = posterior.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        judged = dealt.join(copies, ["__host", "__path", "__salt"])
+    odds = {h: F.col(f"{h}_logit") - float(np.log(mean[h] / (1 - mean[h]))) + _logit(F.col(f"site_{h}")) for h in HEADS}
+    bad = 1 - 1 / ((1 + F.exp(odds["toxic"])) * (1 + F.exp(odds["poor"])))
+    out = judged.withColumn("bad_probability", bad).withColumn("accepted", F.col("bad_probability") < 0.5)
+    return out.select(*[quoted(c) for c in kept], *_NEW)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
