@@ -100,18 +100,22 @@ def fs_delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that df reads, by the optimizer's figures; a table of unknown size counts as empty."""
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables that df reads, by the optimizer's figures; None where one has no known size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(x for x in sizes if x < 1 << 60)
+    return None if any(x >= 1 << 60 for x in sizes) else sum(sizes)
 
 
-def partitions_for(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
-    """Shuffle partitions so that each holds about bytes_each of the input, the session's number at least."""
-    spark = df.sparkSession
-    least = least or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-plan_bytes(df) // bytes_each))
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes of the tables that df reads, or else of its texts, which takes a pass over them."""
+    known = plan_bytes(df)
+    return known if known is not None else int(df.agg(F.sum(F.octet_length(quoted(text_col)))).first()[0] or 0)
+
+
+def partitions_for(df: DataFrame, bytes_each: int) -> int:
+    """Shuffle partitions so that each holds about bytes_each of what df reads, which is a written table; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(plan_bytes(df) or 0) // bytes_each))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidewater.llm.common import map_text, quoted, without
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 NGRAM = 10
 
 #: A-Z lower-cased; every ASCII byte but 0-9 and letters becomes a space.
@@ -32,40 +32,58 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class NgramSet:
-    """Every window of the items: of n words, or of all words of an item that has fewer."""
+    """Every window of the items: of n words, or of all words of an item that has fewer.
+
+    Held as arrays, about 40 bytes for each word of the items: the items' word
+    numbers, and for each size of window the sorted hashes of the distinct ones,
+    where one of each stands, and the items that hold it.
+    """
 
     def __init__(self, items: list[tuple[str, bytes | None]], n: int):
+        self.names = sorted({i for i, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[tuple[int, ...], list[str]] = {}
+        ids, first, owner = [], [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            size = min(n, len(ids))
-            if size:
-                for window in dict.fromkeys(tuple(ids[i : i + size]) for i in range(len(ids) - size + 1)):
-                    self.windows.setdefault(window, []).append(item)
-        rows: dict[int, list[int]] = {}
-        for window in self.windows:
-            rows.setdefault(len(window), []).append(self._hash_one(window))
-        self.hashes = {size: np.unique(np.array(v, dtype=np.uint64)) for size, v in rows.items()}
-
-    @staticmethod
-    def _hash_one(window: tuple[int, ...]) -> int:
-        h = 0
-        for x in window:
-            h = (h * _MULT + x) & _MASK
-        return h ^ (h >> 29)
+            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            if own:
+                first.append(sum(map(len, ids[-1:])) + (first[-1] if first else 0))
+                ids.append(np.array(own, np.uint32))
+                owner.append(number[item])
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self.sizes = {size: self._windows(size, [(f, len(x), o) for f, x, o in zip(first, ids, owner) if min(n, len(x)) == size]) for size in sorted({min(n, len(x)) for x in ids})}
+
+    def _windows(self, size: int, items: list[tuple[int, int, int]]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Multiplier, hashes, a place of each, and where its items begin and which they are."""
+        at = np.concatenate([np.arange(f, f + n - size + 1) for f, n, _ in items])
+        owner = np.repeat([o for *_, o in items], [n - size + 1 for _, n, _ in items])
+        for k in range(64):  # a multiplier that gives different windows different hashes
+            mult = (_MULT + 2 * k * _MULT) & _MASK | 1
+            hashes = self._hash(self.ids.astype(np.uint64), size, mult)[at]
+            order = np.lexsort((owner, hashes))
+            h, p, o = hashes[order], at[order], owner[order]
+            same = h[1:] == h[:-1]
+            if all((self.ids[p[1:] + j] == self.ids[p[:-1] + j])[same].all() for j in range(size)):
+                break
+        else:
+            raise ValueError("no hash tells the windows apart")
+        new = np.concatenate(([True], ~same))
+        keep = new | np.concatenate(([True], o[1:] != o[:-1]))
+        h, p, o, new = h[keep], p[keep], o[keep], new[keep]
+        starts = np.flatnonzero(new)
+        return mult, h[starts], p[starts], np.append(starts, len(h)), o
 
     @staticmethod
-    def _hash_all(ids: np.ndarray, size: int) -> np.ndarray:
+    def _hash(ids: np.ndarray, size: int, mult: int) -> np.ndarray:
         m = len(ids) - size + 1
         h = np.zeros(m, dtype=np.uint64)
         for j in range(size):
-            h *= np.uint64(_MULT)
+            h *= np.uint64(mult)
             h += ids[j : j + m]
         return h ^ (h >> np.uint64(29))
 
     def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-        """For each text its number of words, the word ranges that windows hit, and the items."""
+        """For each text its number of words, the word ranges that windows hit, and the items; every hit is held against the words."""
         get, ids, starts = self.vocabulary.get, [], []
         for text in texts:
             starts.append(len(ids))
@@ -74,24 +92,29 @@ class NgramSet:
         starts.append(len(ids))
         flat = np.array(ids, dtype=np.uint64)
         unknown = np.concatenate(([0], np.cumsum(flat == 0)))
-        found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+        found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
         bounds = np.array(starts)
-        for size, hashes in self.hashes.items():
+        for size, (mult, hashes, places, items_at, owners) in self.sizes.items():
             if len(flat) < size:
                 continue
             known = np.flatnonzero(unknown[size:] == unknown[:-size])
             if not len(known):
                 continue
-            hit = known[np.isin(self._hash_all(flat, size)[known], hashes)]
-            for at, doc in zip(hit.tolist(), (np.searchsorted(bounds, hit, "right") - 1).tolist()):
-                if (named := self.windows.get(tuple(ids[at : at + size]))) is not None:
-                    ranges, items = found.setdefault(doc, ([], set()))
-                    ranges.append((at - starts[doc], at - starts[doc] + size))
-                    items.update(named)
+            own = self._hash(flat, size, mult)[known]
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            like = np.flatnonzero(hashes[at] == own)
+            known, at = known[like], at[like]
+            real = np.ones(len(at), bool)
+            for j in range(size):
+                real &= flat[known + j] == self.ids[places[at] + j]
+            for start, k, doc in zip(known[real].tolist(), at[real].tolist(), (np.searchsorted(bounds, known[real], "right") - 1).tolist()):
+                ranges, items = found.setdefault(doc, ([], set()))
+                ranges.append((start - starts[doc], start - starts[doc] + size))
+                items.update(owners[items_at[k] : items_at[k + 1]].tolist())
         out = []
         for doc in range(len(texts)):
             ranges, items = found.get(doc, ([], set()))
-            out.append((starts[doc + 1] - starts[doc] - 1, union(ranges), items))
+            out.append((starts[doc + 1] - starts[doc] - 1, union(ranges), {self.names[i] for i in items}))
         return out
 
 

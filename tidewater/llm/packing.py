@@ -136,7 +136,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, with_
     def run(batches):
         tokenizer = word_tokenizer(vocabulary)
         kind = "<u2" if tokenizer.size <= 1 << 16 else "<u4"
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=6)
         for whole in batches:
             for part in slices(whole, "t"):
                 ids, bounds = tokenizer.encode(part.column(1).to_pylist(), end)

@@ -1,5 +1,6 @@
 """The corpus operators' registered queries."""
 
+from tidewater.llm import oracles
 from tidewater.llm.decontaminate import op7_decontaminate
 from tidewater.llm.hnsw import op5_embedding_dedup
 from tidewater.llm.minhash import op1_minhash_dedup
@@ -24,4 +25,12 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}  # the digests, trained models and files have no SQL form; tests use brute force or known cases, op8's only its training on few labels
+#: The others rest on trained models or a tokenizer; tests hold them against brute force and held-out labels.
+ORACLE_SQL = {
+    "op1_minhash_dedup": oracles.MINHASH,
+    "op2_substring_dedup": oracles.SUBSTRING,
+    "op5_embedding_dedup": oracles.EMBEDDINGS,
+    "op7_decontaminate": oracles.DECONTAMINATE,
+    "op9_compact_shards": oracles.SHARDING,
+    "op10_warc": oracles.WARC,
+}

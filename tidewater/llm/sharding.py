@@ -4,7 +4,9 @@ Arrivals are appended as small immutable runs.  Where enough runs of one size
 tier have gathered they are merged, without a shuffle, into one run of files of
 the target size.  A manifest names the live runs; a new version appears by a
 rename that fails if the version exists, so readers see whole versions and a
-lost executor costs only tasks of the write in progress.
+lost executor costs only tasks of the write in progress.  Runs that were merged
+away stay until the versions that name them expire.  The rename is atomic on
+HDFS and on local disks; an object store needs a committer with that promise.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, fs_delete, quoted
+from tidewater.llm.common import Scratch, fs_delete, quoted, without
 
 FANOUT, TARGET_BYTES, ARRIVALS = 4, 64 << 20, 16
+#: Versions that stay readable while runs are merged.
+RETAIN = 2
 
 
 class ShardStore:
@@ -56,7 +60,7 @@ class ShardStore:
 
     def describe(self, path: str, level: int) -> dict:
         files = [(s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(self._path(path)) if s.getPath().getName().startswith("part-")]
-        return {"path": path, "level": level, "bytes": sum(b for _, b in files), "files": sorted(n for n, _ in files)}
+        return {"path": path, "level": level, "bytes": sum(b for _, b in files), "files": [{"name": n, "bytes": b} for n, b in sorted(files)]}
 
     def tier(self, run: dict, least: int) -> int:
         return int(math.log(max(1.0, run["bytes"] / max(1, least)), self.fanout) + 0.5)
@@ -71,8 +75,8 @@ class ShardStore:
         df.write.parquet(f"{self.root}/{name}")
         self.add(name)
 
-    def compact(self) -> int:
-        """Merges while any tier has `fanout` runs; returns the number of merges.  Merged runs go after the commit."""
+    def compact(self, retain: int = RETAIN) -> int:
+        """Merges while any tier has `fanout` runs; returns the number of merges.  The last `retain` versions stay whole."""
         merges = 0
         while True:
             now = self.manifest()
@@ -85,32 +89,55 @@ class ShardStore:
                 return merges
             name = f"runs/merged-{now['version'] + 1}"
             files = max(1, -(-sum(r["bytes"] for r in full) // self.target_bytes))
-            schema = self.spark.read.parquet(f"{self.root}/{full[0]['path']}").schema
-            self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['path']}" for r in full]).coalesce(files).write.parquet(f"{self.root}/{name}")
+            self._rows(full).coalesce(files).write.parquet(f"{self.root}/{name}")
             merged = self.describe(name, 1 + max(r["level"] for r in full))
             gone = {r["path"] for r in full}
             self.commit([r for r in now["runs"] if r["path"] not in gone] + [merged], now["version"])
-            for path in gone:
-                fs_delete(self.spark, f"{self.root}/{path}")
+            self.expire(retain)
             merges += 1
 
-    def read(self) -> DataFrame | None:
-        """All rows of the live runs, with the run and the shard file that hold each."""
-        runs = [r for r in self.manifest()["runs"] if r["files"]]
+    def expire(self, retain: int) -> None:
+        """Drops all versions but the last `retain`, and then the runs that no other version names."""
+        seen = self.versions()
+        old = [self.manifest(v) for v in seen[: max(0, len(seen) - max(1, retain))]]
+        live = {r["path"] for v in seen[len(old) :] for r in self.manifest(v)["runs"]}
+        for m in old:
+            self.fs.delete(self._path(f"manifests/v{m['version']}.json"), False)
+        for path in {r["path"] for m in old for r in m["runs"]} - live:
+            fs_delete(self.spark, f"{self.root}/{path}")
+
+    def _rows(self, runs: list[dict]) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.root}/{runs[0]['path']}").schema
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['path']}" for r in runs])
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """All rows of a version's runs, with the run and the shard file that hold each; columns of these names are replaced."""
+        runs = [r for r in self.manifest(version)["runs"] if r["files"]]
         if not runs:
             return None
-        df = self.spark.read.parquet(*[f"{self.root}/{r['path']}" for r in runs])
         parts = F.split(F.input_file_name(), "/")
-        return df.withColumns({"shard_run": F.element_at(parts, -2), "shard_file": F.element_at(parts, -1)})
+        df = self._rows(runs)
+        return df.select(*[quoted(c) for c in without(df, ["shard_run", "shard_file"])], F.element_at(parts, -2).alias("shard_run"), F.element_at(parts, -1).alias("shard_file"))
+
+    def files(self) -> DataFrame:
+        """The shard files of the last version: shard_run, shard_file, bytes."""
+        rows = [(r["path"].rsplit("/", 1)[-1], f["name"], f["bytes"]) for r in self.manifest()["runs"] for f in r["files"]]
+        return self.spark.createDataFrame(rows, "shard_run string, shard_file string, bytes long")
 
 
 def compact_arrivals(docs: DataFrame, root: str, arrivals: int = ARRIVALS, id_col: str = "doc_id") -> ShardStore:
-    """Appends docs as `arrivals` arrivals, compacting after each tier fills; all rows stay, repeated and null ones too."""
+    """Appends docs as `arrivals` arrivals, compacting after each tier fills; all rows stay, repeated and null ones too.
+
+    An empty table leaves a store without runs.  Every column of docs is kept, whatever its name.
+    """
     store = ShardStore(docs.sparkSession, root)
-    docs.withColumn("__arrival", F.pmod(F.xxhash64(quoted(id_col)), F.lit(arrivals))).write.partitionBy("__arrival").parquet(f"{root}/arrivals")
+    own = "arrival"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    docs.withColumn(own, F.pmod(F.xxhash64(quoted(id_col)), F.lit(arrivals))).write.partitionBy(own).parquet(f"{root}/arrivals")
     for k in range(arrivals):
-        if store.fs.exists(store._path(f"arrivals/__arrival={k}")):
-            store.add(f"arrivals/__arrival={k}")
+        if store.fs.exists(store._path(f"arrivals/{own}={k}")):
+            store.add(f"arrivals/{own}={k}")
             if (k + 1) % FANOUT == 0:
                 store.compact()
     store.compact()
@@ -118,10 +145,12 @@ def compact_arrivals(docs: DataFrame, root: str, arrivals: int = ARRIVALS, id_co
 
 
 def op9_compact_shards(spark, sf_dir: str) -> DataFrame:
-    """Where each document lies after all arrivals were appended and compacted."""
+    """Each document as it is read back after all arrivals were appended and compacted, and whether its shard is one that the manifest names and near the target size at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = compact_arrivals(docs, Scratch(spark, "shards").root)
     rows = store.read()
     if rows is None:
-        return docs.select("doc_id", F.lit("").alias("shard_run"), F.lit("").alias("shard_file"), F.lit(0).alias("text_bytes")).limit(0)
-    return rows.select("doc_id", "shard_run", "shard_file", F.coalesce(F.octet_length("text"), F.lit(0)).alias("text_bytes"))
+        rows = docs.limit(0).withColumns({"shard_run": F.lit(""), "shard_file": F.lit("")})
+    text = F.coalesce("text", F.lit(""))
+    named = rows.join(F.broadcast(store.files()), ["shard_run", "shard_file"], "left")  # a row for each shard file
+    return named.select("doc_id", F.octet_length(text).cast("long").alias("text_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.col("bytes").isNotNull().alias("in_manifest"), (F.col("bytes") <= 2 * store.target_bytes).alias("within_target"))

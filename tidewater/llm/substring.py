@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tidewater.llm.common import partitions_for, plan_bytes, quoted, slices, space_words, without
+from tidewater.llm.common import bound_batches, input_bytes, quoted, slices, space_words, tidy, without
 
 WINDOW = 50
 #: Windows that a task holds before it sends them, and answers that it gathers.
@@ -157,6 +157,8 @@ def _send(bits: int, window: int):
                     held, size = [], 0
         if held:
             yield from flush()
+        held.clear()
+        tidy()
 
     return run
 
@@ -221,13 +223,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     the other words, joined by one space.  Ids are integers.  Rows of one id
     are one document here: they never remove from each other, and each loses
     what a smaller id holds.  A document without an id neither removes nor
-    loses words.  Null and empty texts have no words; shorter texts no window.
+    loses words.  Null and empty texts have no words; shorter texts no window;
+    an empty table gives no rows.
     Columns of the same name in docs are replaced.
     """
     spark = docs.sparkSession
     keyed = docs.select(quoted(id_col).cast("long").alias("d"), quoted(text_col).cast("binary").alias("t"))
-    bits = min(30, max(6, (plan_bytes(keyed) // BUCKET_BYTES).bit_length()))
-    n = partitions_for(keyed, 8 << 20)
+    bound_batches(spark)
+    size = input_bytes(keyed, "t")
+    bits = min(30, max(6, (size // BUCKET_BYTES).bit_length()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (8 << 20)))
     sent = keyed.where("d is not null").mapInArrow(_send(bits, window), _ROWS)
     answers = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ANSWERS)
 
@@ -264,7 +269,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         made = [pa.array(n_words, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(texts_out, pa.binary()).cast(pa.string())]
         return pa.table([left.column(i).combine_chunks() for i in range(n_kept)] + made, names=inner.names)
 
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, inner)
+    out = texts.repartition(n, "block").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(cut, inner)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"r{i}").alias(f.name) for i, f in enumerate(fields)])
 
 

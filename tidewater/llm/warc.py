@@ -1,22 +1,23 @@
 """WARC archives of pages, and an external merge of their capture index.
 
 1. Equal payloads meet by SHA-256; all but the page with the smallest id become
-   revisit records.
+   revisit records.  A task passes a payload on only with a page that may be the
+   smallest, so a payload that many pages share travels a few times for a task.
 2. Each task writes its records in the order of (URL key, timestamp, page) to
    archives of one gzip member a record, and gives the sorted run of their
    index.  Archives appear whole under names of their own; only those that the
    committed index names count, so a lost attempt leaves nothing behind but an
    unread file.
-3. The runs are cut at common bounds, and each range merges its pieces of all
-   runs with a tree of losers, so the ranges in order are the capture histories
-   of the whole collection.  Bounds are whole keys, so one URL may span ranges.
+3. The runs are cut at common bounds, which Spark samples, and each range merges
+   its pieces of all runs with a tree of losers, so the ranges in order are the
+   capture histories of the whole collection.  Bounds are whole keys, so one URL
+   may span ranges.
 4. Records are read back through the merged index.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import re
 import uuid
@@ -25,18 +26,17 @@ from datetime import datetime, timedelta, timezone
 from urllib.parse import parse_qsl, quote, urlencode, urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm import fsio
-from tidewater.llm.common import Scratch, partitions_for, quoted, slices
+from tidewater.llm.common import Scratch, bound_batches, partitions_for, quoted, slices, tidy
 
 ARCHIVE_BYTES = 16 << 20
 #: Captures in a range of the merged index, and runs that one tree merges at once.
 RANGE_ROWS, WAYS = 20_000, 256
-#: Rows that choose the ranges' bounds.
-BOUND_SAMPLE = 20_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = re.compile(rb"<urn:x-page:(-?\d+|null)>")
 
@@ -67,9 +67,9 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, timestamp: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC 1.1 record as a gzip member; a revisit keeps the HTTP headers alone."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, timestamp: str, payload: bytes | None, digest: str, size: int, refers_to: int | None, revisit: bool) -> bytes:
+    """One WARC 1.1 record as a gzip member; a revisit keeps the HTTP headers alone and needs no payload."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     date = f"{timestamp[:4]}-{timestamp[4:6]}-{timestamp[6:8]}T{timestamp[8:10]}:{timestamp[10:12]}:{timestamp[12:]}Z"
     lines = [
@@ -78,7 +78,7 @@ def record(page_id: int | None, url: str | None, timestamp: str, payload: bytes,
         f"WARC-Record-ID: <urn:x-page:{'null' if page_id is None else page_id}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or 'urn:x-none', safe=':/?#[]@!$&()*+,;=%~')}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
@@ -148,29 +148,49 @@ def merge_runs(runs: list[list], ways: int = WAYS) -> list:
     return runs[0] if runs else []
 
 
+_PAGES = T.StructType([T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("url", T.StringType()), ("urlkey", T.StringType()), ("timestamp", T.StringType()), ("sha", T.BinaryType()), ("digest", T.StringType()), ("size", T.LongType()), ("html", T.BinaryType()))])
+
+
+def _digested(least_revisit: int):
+    """Digests and sizes of payloads; the payload itself only where the page may be the response."""
+
+    def run(batches):
+        least: dict[bytes, int] = {}
+        for whole in batches:
+            for part in slices(whole, "html"):
+                rows = []
+                for page, url, html in zip(*(c.to_pylist() for c in part.columns)):
+                    sha = hashlib.sha256(html).digest()
+                    before = least.get(sha)
+                    keep = before is None or (page is not None and page <= before) or len(html) < least_revisit
+                    if page is not None and (before is None or page < before):
+                        least[sha] = page
+                    rows.append((page, url, url_key(url), capture_time(page), sha, payload_digest(html), len(html), html if keep else None))
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_PAGES.names)
+        tidy()
+
+    return run
+
+
 def write_archives(pages: DataFrame, scratch: Scratch, least_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for each row and gives the index, a sorted run for each archive.
 
     A null html is an empty payload; a null url has the empty URL key.  Of equal
     payloads of at least least_revisit bytes the page with the smallest id is
     the response.  Rows of that same id are all responses; a null id is never
-    the smallest, and a response only if no page has an id.
+    the smallest, and a response only if no page has an id.  An empty table
+    writes no archive.  Other columns are not read.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), F.coalesce(quoted(html_col).cast("binary"), F.lit(b"")).alias("html"))
-    rows = rows.withColumn("sha", F.sha2("html", 256))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
-    joined = rows.join(firsts, "sha").select("page_id", "url", "html", "first", "sha")
+    rows = scratch.write(rows.mapInArrow(_digested(least_revisit), _PAGES), "pages", compression="zstd")
+    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = scratch.write(firsts, "firsts")  # so that Spark may split the join where a payload is hot
+    joined = rows.join(firsts, "sha", "left")
     root = scratch.path("archives")
-
-    @F.pandas_udf("string")
-    def keys(urls):
-        return urls.map(url_key, na_action=None)
-
-    @F.pandas_udf("string")
-    def times(ids):
-        return ids.map(lambda i: capture_time(None if i != i or i is None else int(i)))
-
-    ordered = joined.withColumn("urlkey", keys("url")).withColumn("timestamp", times("page_id")).sortWithinPartitions("urlkey", "timestamp", "page_id", "sha")
+    revisit = F.coalesce((F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))) & F.col("first").isNotNull() & (F.col("size") >= least_revisit), F.lit(False))
+    ordered = joined.withColumn("revisit", revisit).withColumn("html", F.when(~F.col("revisit"), F.col("html"))).sortWithinPartitions("urlkey", "timestamp", "page_id", "sha")
 
     def run(batches):
         held, index, size = [], [], 0
@@ -183,9 +203,8 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_revisit: int = 0, i
 
         for whole in batches:
             for part in slices(whole, "html"):
-                for page, url, html, first, urlkey, time in zip(*(part.column(n).to_pylist() for n in ("page_id", "url", "html", "first", "urlkey", "timestamp"))):
-                    revisit = first is not None and page != first and len(html) >= least_revisit
-                    data = record(page, url, time, html, first, revisit)
+                for page, url, html, first, urlkey, time, digest, n, again in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first", "urlkey", "timestamp", "digest", "size", "revisit"))):
+                    data = record(page, url, time, html, digest, n, first if again else None, again)
                     index.append((urlkey, time, page, size, len(data)))
                     held.append(data)
                     size += len(data)
@@ -194,39 +213,30 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_revisit: int = 0, i
                         held, index, size = [], [], 0
         if held:
             yield close()
+        tidy()
 
     return scratch.write(ordered.drop("sha").mapInArrow(run, INDEX), "runs")
 
 
 def merge_index(index: DataFrame, scratch: Scratch, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The index with the place of each capture: range, then position; equal entries in the order of their archives."""
-    total = index.count()
-    ranges = max(1, total // range_rows)
-    bounds: list[tuple] = []
-    if ranges > 1:
-        sample = sorted(((r[0], r[1], -1 if r[2] is None else r[2]) for r in index.select("urlkey", "timestamp", "page_id").sample(min(1.0, BOUND_SAMPLE / total), seed=7).collect()))
-        bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
-
-    def deal(batches):
-        for b in batches:
-            keys = zip(*(b.column(k).to_pylist() for k in (0, 1, 2)))
-            at = [bisect.bisect_right(bounds, (u, t, -1 if p is None else p)) for u, t, p in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], names=["range", *INDEX.names])
-
-    wide = T.StructType([T.StructField("range", T.LongType()), *INDEX.fields])
+    ranges = max(1, index.count() // range_rows)
     out = T.StructType([T.StructField("range", T.LongType()), T.StructField("position", T.LongType()), *INDEX.fields])
 
-    def merge(table: pa.Table) -> pa.Table:
+    def merge(batches):
         runs: dict[str, list] = {}
-        for r, u, t, p, a, o, n in zip(*(c.to_pylist() for c in table.columns)):
-            runs.setdefault(a, []).append((u, t, -1 if p is None else p, a, o, n, p, r))
-        for own in runs.values():  # a run's rows may come in several blocks; its offsets tell their order
-            own.sort(key=lambda e: e[4])
+        for b in batches:
+            for u, t, p, a, o, n in zip(*(c.to_pylist() for c in b.columns)):
+                runs.setdefault(a, []).append((u, t, -1 if p is None else p, a, o, n, p))
         rows = merge_runs([runs[a] for a in sorted(runs)])
-        cols = list(zip(*rows))
-        return pa.table([pa.array(cols[7], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[6], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], names=out.names)
+        mine = TaskContext.get().partitionId()
+        for k in range(0, len(rows), 4096):
+            cols = list(zip(*rows[k : k + 4096]))
+            at = range(k, k + len(cols[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([mine] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[6], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())], names=out.names)
 
-    return scratch.write(index.mapInArrow(deal, wide).groupBy("range").applyInArrow(merge, out), "captures")
+    dealt = index.select(*INDEX.names).repartitionByRange(ranges, "urlkey", "timestamp", F.coalesce("page_id", F.lit(-1))).sortWithinPartitions("archive", "offset")
+    return scratch.write(dealt.mapInArrow(merge, out), "captures")
 
 
 def read_archives(captures: DataFrame) -> DataFrame:
@@ -242,6 +252,8 @@ def read_archives(captures: DataFrame) -> DataFrame:
                     name, data = archive, fsio.get(archive)
                 rows.append(parse(data[offset : offset + length]) | {"urlkey": urlkey, "timestamp": time})
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], pa.int64() if f.dataType == T.LongType() else pa.string()) for f in out], names=out.names)
+        data = b""
+        tidy()
 
     n = partitions_for(captures, 1 << 20)
     return captures.repartition(n, "archive").sortWithinPartitions("archive", "offset").mapInArrow(run, out)
@@ -252,4 +264,4 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     captures = merge_index(write_archives(pages, scratch), scratch)
-    return read_archives(captures)
+    return read_archives(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
