@@ -8,11 +8,13 @@
 2. Bands of registers bring classes together.  In each band bucket every class
    is paired with the smallest one; pairs whose collision-corrected Jaccard
    estimate is far below the threshold fall away, and the others are confirmed
-   on full sets.  So a large group gives a star, not all its pairs.
+   on full sets.  So a large group gives a star, not all its pairs, and the text
+   of its hub goes to a task for every PER_HUB of them, not to every pair.
 3. Where a band bucket still holds several components, each class outside the
    largest one is compared, register against register and then by its least
-   hashes, with all classes of other components, in blocks; only pairs that may
-   well be links leave their block, to be confirmed likewise.
+   hashes, with all classes of other components, in tiles of at most BLOCK
+   classes a side; only pairs that may well be links leave their tile, to be
+   confirmed likewise.
 4. Components come from large-star and small-star rounds.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tidewater.llm.common import Scratch, bound_batches, lower_words, quoted, slices, tidy
+from tidewater.llm.common import Scratch, bound_batches, lower_words, partitions_for, quoted, slices, tidy
 from tidewater.llm.components import connected_components
 
 SHINGLE = 5
@@ -36,8 +38,8 @@ REGISTERS, BUCKET_BITS, MANTISSA_BITS = 128, 7, 10
 MISS = 1e-6
 #: A pair is dropped unconfirmed if its estimate is this many standard deviations below the threshold.
 SLACK = 6.0
-#: Classes of one band bucket that are compared in one block.
-BLOCK = 2000
+#: Classes on each side of a tile, about; and pairs that share one copy of their hub's text.
+BLOCK, PER_HUB = 1000, 256
 #: Least hashes that compare two classes more closely before their pair leaves its block.
 KMV = 256
 
@@ -168,26 +170,40 @@ def _by_estimate(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, needed: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, needed: DataFrame, scratch: Scratch, label: str, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough; needed has the texts of their documents."""
-    side = lambda x: needed.select(F.col("doc_id").alias(x), F.col("text").cast("binary").alias(f"t_{x}"))
+    pairs = scratch.write(pairs, f"{label}-pairs")
+    salts = scratch.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("salts")), f"{label}-salts")
+    texts = needed.select("doc_id", F.col("text").cast("binary").alias("t"))
+    hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b")).join(texts.withColumnRenamed("doc_id", "a"), "a")
+    dealt = pairs.join(salts, "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b").join(texts.withColumnRenamed("doc_id", "b"), "b")
+    both = hubs.select("a", "salt", "b", "t").unionByName(dealt.select("a", "salt", "b", "t"))
 
     def run(batches):
-        last, own = None, None
+        hub, own = None, []
         for whole in batches:
-            for part in slices(whole, "t_b"):
-                left, keep = part.column(0).to_pylist(), []
-                texts_a = part.column(2)
+            for part in slices(whole, "t"):
+                a, salt, b = (part.column(k).to_pylist() for k in range(3))
+                left, right = [], []
                 for i, other in enumerate(shingle_sets(part.column(3).to_pylist(), size)):
-                    if own is None or left[i] != last:
-                        last, own = left[i], shingle_sets([texts_a[i].as_py()], size)[0]
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    if hub != (a[i], salt[i]):
+                        hub, own = (a[i], salt[i]), []
+                    if b[i] is None:  # the hub's text stands before those of its pairs
+                        if not any(np.array_equal(x, other) for x in own):
+                            own.append(other)
+                        continue
+                    for x in own:
+                        both = len(np.intersect1d(x, other, assume_unique=True))
+                        if both and 100 * both >= percent * (len(x) + len(other) - both):
+                            left.append(a[i])
+                            right.append(b[i])
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        own.clear()
         tidy()
 
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
-    return joined.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    n = partitions_for(needed, 8 << 20)
+    return both.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _least_hashes(size: int):
@@ -203,7 +219,7 @@ def _least_hashes(size: int):
 
 
 def _across(percent: int, bands: int, rows: int):
-    """Of a band bucket's block, the pairs of a query with a class of another component that may be links.
+    """Of a band bucket's tile, the pairs of a query with a class of another component that may be links.
 
     A pair that shares several bands is looked at in the first one; a pair of two queries once.
     """
@@ -246,8 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_
     Documents are linked if 100 * intersection >= percent * union of their
     distinct shingle sets; component_id is the smallest id reachable.  Null and
     empty texts have no shingles and are linked with nothing.  Ids are integers;
-    rows of one id are one document whose first non-empty texts all count.  A
-    row without an id is linked with nothing: its component_id is null, and it is
+    rows of one id are one document whose non-empty texts all count.  An empty
+    table gives no rows.  A row without an id is linked with nothing: its component_id is null, and it is
     kept.  Other columns of docs are not read.
     """
     spark = docs.sparkSession
@@ -271,27 +287,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_
     in_bands = reps.select("rep", "regs").mapInArrow(banded, "rep long, key long").distinct()
     in_bands = scratch.write(in_bands, "bands")
     hubs = in_bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+    hubs = scratch.write(hubs, "hubs")  # so that Spark may split the join where a band is hot
     stars = in_bands.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     stars = scratch.write(stars, "stars")
     ids = stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id"))).distinct()
     needed = scratch.write(source.join(ids.hint("merge"), "doc_id", "left_semi"), "texts", compression="zstd")  # the one time that texts are dealt out
-    links = scratch.write(_confirm(_by_estimate(stars, reps, percent), needed, size, percent), "links")
+    links = scratch.write(_confirm(_by_estimate(stars, reps, percent), needed, scratch, "stars", size, percent), "links")
     parts = scratch.write(connected_components(links, scratch, "cc-a"), "parts")
 
     placed = in_bands.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     tally = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = tally.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_rows = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("minor", F.col("component") != F.col("largest"))
-    asks = open_rows.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    dealt = open_rows.withColumn("block", F.pmod(F.hash("rep"), F.col("blocks"))).withColumn("asks", F.lit(False))
-    both = scratch.write(asks.unionByName(dealt).select("key", "block", "asks", "minor", "rep", "component"), "open")
+    largest = F.max_by("component", F.struct("c", "component")).alias("largest")
+    tiles = [F.ceil(n / BLOCK).cast("int").alias(x) for n, x in ((F.sum("c"), "blocks"), (F.sum("c") - F.max("c"), "ask_blocks"))]
+    mixed = scratch.write(tally.groupBy("key").agg(largest, *tiles, F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
+    open_rows = placed.join(mixed, "key").withColumn("minor", F.col("component") != F.col("largest"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.hash("rep"), F.col(n))
+    asks = open_rows.where("minor").withColumn("ask_block", mine("ask_blocks")).withColumn("block", spread("blocks")).withColumn("asks", F.lit(True))
+    dealt = open_rows.withColumn("block", mine("blocks")).withColumn("ask_block", spread("ask_blocks")).withColumn("asks", F.lit(False))
+    both = scratch.write(asks.unionByName(dealt).select("key", "ask_block", "block", "asks", "minor", "rep", "component"), "open")
     close = needed.join(both.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("t"))
-    close = scratch.write(close.mapInArrow(_least_hashes(size), "rep long, kmv binary").dropDuplicates(["rep"]).join(reps, "rep"), "close")
-    second = scratch.write(both.join(close, "rep").groupBy("key", "block").applyInArrow(_across(percent, bands, rows), "a long, b long").distinct(), "across")
+    close = scratch.write(close.mapInArrow(_least_hashes(size), "rep long, kmv binary").distinct().join(reps, "rep"), "close")
+    second = scratch.write(both.join(close, "rep").groupBy("key", "ask_block", "block").applyInArrow(_across(percent, bands, rows), "a long, b long").distinct(), "across")
     if second.isEmpty():
         final = parts
     else:
-        more = scratch.write(_confirm(second, needed, size, percent), "more")
+        more = scratch.write(_confirm(second, needed, scratch, "across", size, percent), "more")
         final = scratch.write(connected_components(links.unionAll(more), scratch, "cc-b"), "final")
     found = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("root"))
     least = found.groupBy("doc_id").agg(F.min("root").alias("root"))
