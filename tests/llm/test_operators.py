@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch
 from tidewater.llm.decontaminate import cut_contaminated, drop_contaminated, find_contamination
-from tidewater.llm.hnsw import Graph, near_embeddings
+from tidewater.llm.hnsw import Graph, _block, _Shard, _unit, near_embeddings
 from tidewater.llm.minhash import estimate, near_duplicates, registers
 from tidewater.llm.packing import pack, plan_packing
 from tidewater.llm.pii import KINDS, _spelt, base_spans, find_pii, model_spans, redact, trained
@@ -52,6 +52,20 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def components(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = find(int(a)), find(int(b))
+        root[max(a, b)] = min(a, b)
+    return sum(find(i) == i for i in range(n))
+
+
 def test_minhash(docs, texts):
     sets = {}
     for i, t in texts:
@@ -151,8 +165,8 @@ def test_token_files(docs):
 def test_quality_of_few_labels(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(4)] + [(4, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0, 0) for i in range(4)] + [(4, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
-    bias = train(docs, labels).bias
-    assert -6 < bias[0] < -1 and 0.5 < bias[1] < 3
+    toxic, poor = train(docs, labels).logits(b"text 1")  # all of the few labels say poor, none toxic
+    assert toxic < -1 and poor > 0.5
     assert train(docs, labels.limit(0)).bias.tolist() == [-6, -6]
 
 
@@ -215,26 +229,42 @@ def test_pii_candidates_anywhere():
         assert list(_spelt(t, 0, len(t))) == [m.span() for m in whole.finditer(t)]
 
 
-@pytest.mark.parametrize("paired", [40, 900])
+def shard(x, first=0, copies=1):
+    own = _Shard.__new__(_Shard)
+    own.x, own.ids, own.copies, own.graph = x.astype(np.float32), np.arange(first, first + len(x)), np.full(len(x), copies), Graph(_unit(x))
+    own.beam = own.graph.plant(0.949)
+    return own
+
+
+@pytest.mark.parametrize("paired", [20, 600])
 def test_links_beside_a_hot_group(paired):
+    """Sparse links and a dense group in shards above the widest beam: each vector's links, and the components."""
     g = np.random.default_rng(4)
-    hot = g.normal(size=48) + g.normal(size=(1500, 48)) * 0.05
-    lone = g.normal(size=(3000, 48))
-    near = lone[:paired] + g.normal(size=(paired, 48)) * 0.1
-    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    graph = Graph(unit(np.concatenate((hot, lone, near))))
-    other = unit(np.concatenate((g.normal(size=(3000, 48)), lone[:paired] + g.normal(size=(paired, 48)) * 0.1)))
-    for q in (graph.x, other):
-        true = set(zip(*(k.tolist() for k in np.nonzero(q @ graph.x.T >= 0.949))))
-        a, b = graph.audited(q, 0.949)
-        found = set(zip(a.tolist(), b.tolist()))
-        if q is graph.x:
-            few = {(i, j) for i, j in true if i >= 1500 and i != j}
-            found |= {(j, i) for i, j in found}
+    lone = g.normal(size=(4000, 48))
+    near = lambda: lone[:paired] + g.normal(size=(paired, 48)) * 0.1
+    one = shard(np.concatenate((g.normal(size=48) + g.normal(size=(900, 48)) * 0.05, lone, near())))
+    two = shard(np.concatenate((g.normal(size=(2000, 48)), near())), 10**6, 2)
+    assert one.beam < 256 and two.beam < 256
+    for x, y in ((one, one), (one, two)):
+        ids, counts, edges = _block(x, y, 0.95)
+        u, v = (w.x / np.linalg.norm(w.x.astype(np.float64), axis=1, keepdims=True) for w in (x, y))
+        link = v @ u.T >= 0.95
+        if x is y:
+            np.fill_diagonal(link, False)
+            want = link.sum(axis=1)
         else:
-            few = true
-        assert len(few) >= paired and len(few & found) >= 0.99 * len(few)
-        assert len(true & found) >= 0.99 * len(true)
+            want = np.concatenate((2 * link.sum(axis=0), link.sum(axis=1)))
+        assert (counts <= want).all() and (want > 0).sum() >= paired
+        assert (counts == want)[want > 0].mean() >= 0.98
+        forest = len(ids) - components(len(ids), zip(*np.nonzero(link)) if x is y else ((len(u) + a, b) for a, b in zip(*np.nonzero(link))))
+        assert 0.99 * forest <= len(edges) <= forest
+
+
+def test_dense_group_stays_small():
+    g = np.random.default_rng(5)
+    own = shard(g.normal(size=16) + g.normal(size=(5000, 16)) * 0.02)
+    ids, counts, edges = _block(own, own, 0.95)
+    assert (counts == 4999).all() and len(edges) == 4999
 
 
 def test_warc(spark):
@@ -257,5 +287,12 @@ def test_sharding(spark, docs):
     store = compact_arrivals(docs, Scratch(spark, "t").root)
     assert sorted(map(str, (tuple(r) for r in store.read().select(*docs.columns).collect()))) == sorted(map(str, (tuple(r) for r in docs.collect())))
     assert len(store.manifest()["runs"]) < 16
+    before = store.versions()[-2]
+    assert store.read(before).count() == docs.count()
+    clash = docs.withColumns({"Arrival": F.lit(1), "shard_run": F.lit("x")})
+    again = compact_arrivals(clash, Scratch(spark, "t").root, arrivals=2)
+    assert "Arrival" in again.read().columns and again.read().count() == docs.count()
+    assert compact_arrivals(docs.limit(0), Scratch(spark, "t").root).read() is None
+    assert {r["bytes"] > 0 for r in store.files().collect()} == {True}
     with pytest.raises(Exception):
         store.commit([], store.versions()[0] - 1)

@@ -84,14 +84,18 @@ class Graph:
 
     def _link(self, node: int, near: np.ndarray, lv: int) -> None:
         links = self.layers[lv]
-        chosen = self._choose(node, near, LINKS)
+        before = links[node][links[node] >= 0]  # mates of the batch that chose this node
+        chosen = self._choose(node, np.union1d(near, before), LINKS)
+        links[node] = -1
         links[node, : len(chosen)] = chosen
         for other in chosen.tolist():
             row = links[other]
             free = np.flatnonzero(row < 0)
+            if node in row:
+                continue
             if len(free):
                 row[free[0]] = node
-            elif node not in row:
+            else:
                 kept = self._choose(other, np.append(row, node), len(row))
                 row[:] = -1
                 row[: len(kept)] = kept
