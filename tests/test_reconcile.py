@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import flags as fl
 from tidewater.operators import reconcile as rc
+from tidewater.plans.run import Run
+from tidewater.sources import state
 
 KEY = "account int, channel int"
 
@@ -191,3 +193,13 @@ def test_chunks(spark, size):
     rows = spark.createDataFrame([(0, 0, k) for k in range(size)], f"{KEY}, uid long")
     got = [r["n"] for r in rc.batches(rows, []).orderBy("batch").collect()]
     assert sum(got) == size and all(n == rc.CHUNK for n in got[:-1])
+
+
+def test_whole_run(spark, tmp_path):
+    box = mailbox(spark, {0: dict(pairs=[(5, 5, 0)], near=[(5, 1, "a", 0), (None, 0, "n", 0)], far=[(5, 0, 1), (7, 0, 1)], maxpulled=5)}, sync=True)
+    run = Run(box, appended=spark.createDataFrame([(0, 0, "n", 8)], f"{KEY}, name string, fuid long"))
+    assert [r["command"] for r in run.commands()["store"].collect()] == ["UID STORE 5 +FLAGS.SILENT (\\Seen)"]
+    run.commit(str(tmp_path))
+    assert sorted(map(tuple, state.load(spark, str(tmp_path), "pairs").select("fuid", "nuid", "flags").collect())) == [(5, 5, 1), (7, 6, 0), (8, 7, 0)]
+    assert state.load(spark, str(tmp_path), "headers").first()["maxpulled"] == 8
+    assert state.load(spark, str(tmp_path), "baseline").first()["exists"] == 2  # the counters from before the run

@@ -17,6 +17,9 @@ def test_maildir(spark, tmp_path):
     spark.dataSource.register(maildir.Maildir)
     with pytest.raises(Exception):
         spark.read.format("maildir").load(str(tmp_path)).collect()
+    maildir.ensure_maildir(str(tmp_path / "a/b"))
+    maildir.ensure_maildir(str(tmp_path / "a/b"))
+    assert sorted(os.listdir(tmp_path / "a/b")) == ["cur", "new", "tmp"] and os.stat(tmp_path / "a/b/new").st_mode & 0o777 == 0o700
     for d in ("cur", "new"):
         (tmp_path / d).mkdir()
     for k, n in enumerate(NAMES):

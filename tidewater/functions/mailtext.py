@@ -77,6 +77,13 @@ def smtp_data(message: Column) -> Column:
     return F.regexp_replace(dot_stuffed(whole), "\n", "\r\n")
 
 
+def smtp_commands(sender: Column, recipients: Column) -> Column:
+    """The commands of a submission before its data, in order; without a recipient there are none."""
+    to = F.transform(recipients, lambda r: F.concat(F.lit("RCPT TO:<"), r, F.lit(">")))
+    whole = F.concat(F.array(F.concat(F.lit("MAIL FROM:<"), sender, F.lit(">"))), to, F.array(F.lit("DATA")))
+    return F.when(F.size(recipients) > 0, whole).otherwise(F.array().cast("array<string>"))
+
+
 def imap_quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
 

@@ -255,6 +255,11 @@ _mails = lambda t: t("customer").selectExpr("c_custkey", f"{_MAIL} AS mail")  #
 _SENT = "'u' || c_custkey || '@a.test'"
 _text("header_addresses", f"SELECT c_custkey, {_SENT} || ';z@z.test' AS senders, CASE WHEN c_custkey % 2 = 0 THEN 'h' || c_custkey || '@b.test;i@b.test;' ELSE '' END || 't@c.test' AS recipients FROM customer", lambda t: _mails(t).select("c_custkey", F.array_join(mt.addresses_of(F.col("mail"), "from"), ";").alias("senders"), F.array_join(mt.recipients(F.col("mail")), ";").alias("recipients")))
 _text("header_fields", "SELECT c_custkey, 'Subject;' || CASE WHEN c_custkey % 3 = 0 THEN 'FROM' ELSE 'From' END || CASE WHEN c_custkey % 2 = 0 THEN ';bCC' ELSE '' END || ';To' AS names FROM customer", lambda t: _mails(t).select("c_custkey", F.array_join(F.transform(mt.header_fields(F.col("mail")), lambda f: f["name"]), ";").alias("names")))
+_text(
+    "smtp_plan",
+    f"SELECT c_custkey, 'MAIL FROM:<' || {_SENT} || '>' || CASE WHEN c_custkey % 2 = 0 THEN ';RCPT TO:<h' || c_custkey || '@b.test>;RCPT TO:<i@b.test>' ELSE '' END || ';RCPT TO:<t@c.test>;DATA' AS commands FROM customer",
+    lambda t: _mails(t).select("c_custkey", F.array_join(mt.smtp_commands(mt.envelope_sender(F.lit(None).cast("string"), F.col("mail"), F.lit("u")), mt.recipients(F.col("mail"))), ";").alias("commands")),
+)
 _text("strip_bcc", f"SELECT c_custkey, md5(replace(mail, 'bCC: h' || c_custkey || '@b.test,' || chr(10) || chr(9) || '<i@b.test>' || chr(10), '')) AS left_md5 FROM (SELECT *, {_MAIL} AS mail FROM customer)", lambda t: _mails(t).select("c_custkey", F.md5(mt.without_bcc(F.col("mail")).cast("binary")).alias("left_md5")))
 _text("smtp_data", f"SELECT c_custkey, md5(replace(replace(replace(mail || chr(10), {_CRLF}, chr(10)), chr(10) || '.', chr(10) || '..'), chr(10), {_CRLF})) AS wire_md5 FROM (SELECT *, {_MAIL} AS mail FROM customer)", lambda t: _mails(t).select("c_custkey", F.md5(mt.smtp_data(F.col("mail")).cast("binary")).alias("wire_md5")))
 _text("envelope_sender", f"SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'given@x.test' WHEN c_custkey % 7 = 0 THEN 'user@x.test' ELSE {_SENT} END AS sender FROM customer", lambda t: _mails(t).select("c_custkey", mt.envelope_sender(F.when(F.col("c_custkey") % 5 == 0, "given@x.test"), F.when(F.col("c_custkey") % 7 == 0, F.lit("To: a@b")).otherwise(F.col("mail")), F.lit("user@x.test")).alias("sender")))

@@ -125,6 +125,18 @@ def read_baseline(path: str) -> dict[str, int] | None:
     return out
 
 
+def ensure_maildir(path: str) -> None:
+    """Creates a maildir and its parents, readable by the owner alone; folders that exist are left as they are."""
+    at = "/" if path.startswith("/") else ""
+    for part in path.strip("/").split("/"):
+        at = os.path.join(at, part)
+        if not os.path.isdir(at):
+            os.mkdir(at, 0o700)
+    for sub in ("cur", "new", "tmp"):
+        if not os.path.isdir(os.path.join(path, sub)):
+            os.mkdir(os.path.join(path, sub), 0o700)
+
+
 def folder_mtimes(path: str) -> dict[str, int]:
     """Seconds and nanoseconds of the last change of cur and new; to be read before the scan."""
     out = {}
