@@ -12,7 +12,7 @@ from tidewater.llm.decontaminate import cut_contaminated, drop_contaminated, fin
 from tidewater.llm.hnsw import Graph, _block, _Shard, _unit, near_embeddings
 from tidewater.llm.minhash import estimate, near_duplicates, registers
 from tidewater.llm.packing import pack, plan_packing
-from tidewater.llm.pii import KINDS, _spelt, base_spans, find_pii, model_spans, redact, trained
+from tidewater.llm.pii import _UNIT, KINDS, LABELS, _after, _ending, _spelt, base_spans, decode, find_pii, model_spans, redact, trained
 from tidewater.llm.quality import train
 from tidewater.llm.sharding import compact_arrivals
 from tidewater.llm.substring import remove_repeats
@@ -267,6 +267,43 @@ def test_dense_group_stays_small():
     assert (counts == 4999).all() and len(edges) == 4999
 
 
+def test_pii_side_by_side_and_credentials(spark):
+    weights = trained()
+    found = lambda t: [(KINDS[k], t[s:e]) for s, k, e in sorted(model_spans(t, base_spans(t), weights))]
+    assert found("414-555-7134 212-555-0101") == [("phone", "414-555-7134"), ("phone", "212-555-0101")]
+    assert found("10.0.0.1 (414) 555-7134") == [("phone", "(414) 555-7134")]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert found(f'x token = "{key}" y') == [("secret", key)]
+    for clean in ("chapter-long-name-0012", "2024-01-02 and 12.50", "1 2 3 4 5 6", "internationalisation2", "see foo/2024/01/somepath"):
+        assert found(clean) == []
+    rows = [(1, f"{key} " + "é word " * 40000 + "(414) 555-7134"), (1, None), (2, ""), (2, ""), (None, "a@b.de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit(1), "Base_Spans": F.lit(2)})
+    got = find_pii(df).collect()
+    assert len(got) == 5 and sum(len(r["spans"]) for r in got) >= 2 and all(len(r["spans"]) >= len(r["base_spans"]) for r in got)
+    assert find_pii(df.limit(0)).count() == 0 and redact(df.limit(0)).count() == 0
+
+
+def test_model_agrees_with_all_segmentations():
+    """Decoding finds the best of all labelled segmentations of short runs."""
+    weights = trained()
+
+    def every(units, i, state):
+        if i == len(units):
+            yield 0.0, []
+            return
+        for v, rest in every(units, i + 1, _after(state, units[i])):
+            yield v, rest
+        for j in range(i + 1, len(units) + 1):
+            for a, k, score, _ in _ending(units, j, weights):
+                if a == i:
+                    for v, rest in every(units, j, k):
+                        yield v + score + weights.get(("after", state, k), 0.0), [(i, j, k), *rest]
+
+    for text in ("414-555-7134", "1.2 (414) 555", "ab at cd dot com", "12 34-56 7"):
+        units = _UNIT.findall(text)
+        assert decode(units, weights) == max(every(units, 0, len(LABELS)), key=lambda x: x[0])[1]
+
+
 def test_warc(spark):
     rows = [(1, "http://b.com/x", "p"), (2, "http://a.com/?z=1&a=2", "q"), (3, None, "p"), (4, "http://b.com/x", None), (5, "http://b.com/x", ""), (6, "http://c.com/", "é" * 90000)]
     scratch = Scratch(spark, "t")

@@ -101,7 +101,7 @@ def test_pii(spark, folder, texts):
         own = base(texts[r["doc_id"]])
         said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in own)
         assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
-        assert [r[f"n_{k}"] for k in KINDS] == [sum(x == n for _, x, _ in own) for n in range(4)]
+        assert [r[f"n_{k}"] for k in KINDS[:4]] == [sum(x == n for _, x, _ in own) for n in range(4)]
         spans = [tuple(s.split(":")) for s in r["spans"].split(",")] if r["spans"] else []
         order = [(int(s), KINDS.index(k), int(e)) for k, s, e in spans]
         assert order == sorted(order) and set(own) <= set(order) and all(0 <= s < e <= len(texts[r["doc_id"]]) for s, _, e in order)
@@ -244,7 +244,7 @@ def test_pipeline(spark, folder):
     for r in made["pii"]:
         text, own = before[r["doc_id"]], base(before[r["doc_id"]] or "")
         assert (r["text"] is None) == (text is None)
-        assert not base(r["text"] or "") and (own or not re.search(r"\d| at |\(at\)", text or "") or True)
+        assert not base(r["text"] or "")
         if not own and not re.search(r"[0-9]", text or ""):
             assert r["text"] == text
 
