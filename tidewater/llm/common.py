@@ -70,8 +70,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None, **options: str) -> DataFrame:
-        writer = df.write.options(**options)
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None, files: int | None = None, **options: str) -> DataFrame:
+        """files bounds the number of files, and so of tasks, of a table that is small for its number of partitions."""
+        writer = (df if files is None else df.coalesce(files)).write.options(**options)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(name))
@@ -118,6 +119,11 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(plan_bytes(df) or 0) // bytes_each))
 
 
+def few_files(df: DataFrame, bytes_each: int = 32 << 20) -> int:
+    """Files for tables that hold a few bytes for each row of df: four for each core, or more for a large input."""
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-(plan_bytes(df) or 0) // bytes_each))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about `most` bytes in a column, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, few_files
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,20 +17,20 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
 
     Each round is written, so lineage stays short; rounds end when the stars no
     longer change, after about log(longest path) rounds.  Each node's least
-    neighbour is written too: both sides of a join are then plain tables, and
+    neighbour is written too: both sides of that join are then plain tables, and
     Spark may split the rows of a node with very many neighbours over tasks.
     """
-    now = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-0")
+    files = few_files(edges)
+    now = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-0", files=files)
     state, k = _state(now), 0
     while state[0]:
-        own = [f"{label}-{k}-{n}" for n in ("all", "large", "least")]
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), own[0])
-        large = scratch.write(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), own[1])
-        least = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")), own[2])
-        small = large.join(least, "a")
-        now = scratch.write(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct(), f"{label}-{k + 1}")
-        scratch.drop(f"{label}-{k}", *own)
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{label}-{k}-least", files=files)
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small_least = large.groupBy("a").agg(F.min("b").alias("m"))  # a is the larger end here, so no node has very many
+        small = large.join(small_least, "a")
+        now = scratch.write(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small_least.select("a", F.col("m").alias("b"))).distinct(), f"{label}-{k + 1}", files=files)
+        scratch.drop(f"{label}-{k}", f"{label}-{k}-least")
         before, state, k = state, _state(now), k + 1
         if state == before:
             break

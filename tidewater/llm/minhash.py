@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tidewater.llm.common import Scratch, bound_batches, lower_words, partitions_for, quoted, slices, tidy
+from tidewater.llm.common import Scratch, bound_batches, few_files, lower_words, partitions_for, quoted, slices, tidy
 from tidewater.llm.components import connected_components
 
 SHINGLE = 5
@@ -170,10 +170,10 @@ def _by_estimate(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, needed: DataFrame, scratch: Scratch, label: str, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, needed: DataFrame, scratch: Scratch, label: str, files: int, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough; needed has the texts of their documents."""
-    pairs = scratch.write(pairs, f"{label}-pairs")
-    salts = scratch.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("salts")), f"{label}-salts")
+    pairs = scratch.write(pairs, f"{label}-pairs", files=files)
+    salts = scratch.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("salts")), f"{label}-salts", files=files)
     texts = needed.select("doc_id", F.col("text").cast("binary").alias("t"))
     hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b")).join(texts.withColumnRenamed("doc_id", "a"), "a")
     dealt = pairs.join(salts, "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b").join(texts.withColumnRenamed("doc_id", "b"), "b")
@@ -270,11 +270,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_
     bound_batches(spark)
     scratch = Scratch(spark, "minhash")
     bands, rows = band_shape(percent / 100)
+    files = few_files(docs)
     source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     sketched = source.select("doc_id", F.col("text").cast("binary").alias("t"))
     sketches = scratch.write(sketched.mapInArrow(_sketch(size), "doc_id long, n long, f1 long, f2 long, regs binary"), "sketches")
     live = sketches.where("n > 0 and doc_id is not null")
-    classes = scratch.write(live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    classes = scratch.write(live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes", files=files)
     reps = classes.select("rep", "n", "regs")
     members = live.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep").distinct()
 
@@ -285,35 +286,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), bands)), pa.array(keys.ravel())], names=["rep", "key"])
 
     in_bands = reps.select("rep", "regs").mapInArrow(banded, "rep long, key long").distinct()
-    in_bands = scratch.write(in_bands, "bands")
+    in_bands = scratch.write(in_bands, "bands", files=files)
     hubs = in_bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    hubs = scratch.write(hubs, "hubs")  # so that Spark may split the join where a band is hot
+    hubs = scratch.write(hubs, "hubs", files=files)  # so that Spark may split the join where a band is hot
     stars = in_bands.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    stars = scratch.write(stars, "stars")
+    stars = scratch.write(stars, "stars", files=files)
     ids = stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id"))).distinct()
-    needed = scratch.write(source.join(ids.hint("merge"), "doc_id", "left_semi"), "texts", compression="zstd")  # the one time that texts are dealt out
-    links = scratch.write(_confirm(_by_estimate(stars, reps, percent), needed, scratch, "stars", size, percent), "links")
-    parts = scratch.write(connected_components(links, scratch, "cc-a"), "parts")
+    needed = scratch.write(source.join(ids.hint("merge"), "doc_id", "left_semi"), "texts", files=files, compression="zstd")  # the one time that texts are dealt out
+    links = scratch.write(_confirm(_by_estimate(stars, reps, percent), needed, scratch, "stars", files, size, percent), "links", files=files)
+    parts = scratch.write(connected_components(links, scratch, "cc-a"), "parts", files=files)
 
     placed = in_bands.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     tally = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     largest = F.max_by("component", F.struct("c", "component")).alias("largest")
     tiles = [F.ceil(n / BLOCK).cast("int").alias(x) for n, x in ((F.sum("c"), "blocks"), (F.sum("c") - F.max("c"), "ask_blocks"))]
-    mixed = scratch.write(tally.groupBy("key").agg(largest, *tiles, F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
+    mixed = scratch.write(tally.groupBy("key").agg(largest, *tiles, F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed", files=files)
     open_rows = placed.join(mixed, "key").withColumn("minor", F.col("component") != F.col("largest"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.hash("rep"), F.col(n))
     asks = open_rows.where("minor").withColumn("ask_block", mine("ask_blocks")).withColumn("block", spread("blocks")).withColumn("asks", F.lit(True))
     dealt = open_rows.withColumn("block", mine("blocks")).withColumn("ask_block", spread("ask_blocks")).withColumn("asks", F.lit(False))
-    both = scratch.write(asks.unionByName(dealt).select("key", "ask_block", "block", "asks", "minor", "rep", "component"), "open")
+    both = scratch.write(asks.unionByName(dealt).select("key", "ask_block", "block", "asks", "minor", "rep", "component"), "open", files=files)
     close = needed.join(both.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("t"))
-    close = scratch.write(close.mapInArrow(_least_hashes(size), "rep long, kmv binary").distinct().join(reps, "rep"), "close")
-    second = scratch.write(both.join(close, "rep").groupBy("key", "ask_block", "block").applyInArrow(_across(percent, bands, rows), "a long, b long").distinct(), "across")
+    close = scratch.write(close.mapInArrow(_least_hashes(size), "rep long, kmv binary").distinct().join(reps, "rep"), "close", files=files)
+    second = scratch.write(both.join(close, "rep").groupBy("key", "ask_block", "block").applyInArrow(_across(percent, bands, rows), "a long, b long").distinct(), "across", files=files)
     if second.isEmpty():
         final = parts
     else:
-        more = scratch.write(_confirm(second, needed, scratch, "across", size, percent), "more")
-        final = scratch.write(connected_components(links.unionAll(more), scratch, "cc-b"), "final")
+        more = scratch.write(_confirm(second, needed, scratch, "across", files, size, percent), "more", files=files)
+        final = scratch.write(connected_components(links.unionAll(more), scratch, "cc-b"), "final", files=files)
     found = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("root"))
     least = found.groupBy("doc_id").agg(F.min("root").alias("root"))
     out = sketches.join(least, "doc_id", "left")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import Scratch, bound_batches, map_text, quoted, slices, tidy
+from tidewater.llm.common import Scratch, bound_batches, few_files, map_text, quoted, slices, tidy
 from tidewater.llm.decontaminate import words
 
 #: Labelled rows that the document classifier is fitted on, at most; chosen by a hash of their id.
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     named = F.broadcast(spark.createDataFrame(chosen.toArrow(), chosen.schema))  # `rows` rows at most
     sample = docs.select(quoted(id_col).cast("long").alias("__id"), quoted(text_col).cast("binary").alias("t")).join(named, "__id")
-    sample = scratch.write(sample.groupBy("__id").agg(F.first("__toxic").alias("__toxic"), F.first("__poor").alias("__poor"), F.min("t").alias("t")).drop("__id"), "sample")
+    sample = scratch.write(sample.groupBy("__id").agg(F.first("__toxic").alias("__toxic"), F.first("__poor").alias("__poor"), F.min("t").alias("t")).drop("__id"), "sample", files=few_files(named))
 
     def count(batches):
         seen: dict[int, Counter] = {k: Counter() for k in range(3)}
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = sample.mapInArrow(count, "f binary, n long, toxic long, poor long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "poor")])
     counts = counts.where((F.col("n") >= SUPPORT) | (F.col("f") == F.lit(b"n")))  # the total counts however small
-    counts = scratch.write(counts, "counts")
+    counts = scratch.write(counts, "counts", files=few_files(named))
     total = counts.where(F.col("f") == F.lit(b"n")).agg(*[F.sum(c).alias(c) for c in ("n", *HEADS)]).first()
     if not total["n"]:
         scratch.drop("sample", "counts")
@@ -235,9 +235,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     kept = [c for c in docs.columns if (carry is None or c in carry) and c.lower() not in _NEW]
     own = scratch.write(evidence(site, model, text_col, [*kept, "__host", "__path"]), "evidence", compression="zstd")
     p = {h: 1 / (1 + F.exp(-F.col(f"{h}_logit"))) for h in HEADS}
-    sites = scratch.write(own.groupBy("__host", "__path").agg(F.count("*").alias("n"), *[F.sum(p[h]).alias(h) for h in HEADS]), "sites")
+    sites = scratch.write(own.groupBy("__host", "__path").agg(F.count("*").alias("n"), *[F.sum(p[h]).alias(h) for h in HEADS]), "sites", files=few_files(docs))
     posterior, mean = site_posteriors(sites, [["__host"], ["__host", "__path"]])
-    posterior = scratch.write(posterior, "posteriors")
+    posterior = scratch.write(posterior, "posteriors", files=few_files(docs))
     if posterior.count() <= BROADCAST_SITES:
         judged = own.join(F.broadcast(posterior), ["__host", "__path"])
     else:  # a site may hold a third of all documents
