@@ -190,9 +190,11 @@ def test_one_pass(spark):
 
 @pytest.mark.parametrize("size", [0, 1, 40, 41, 81])
 def test_chunks(spark, size):
-    rows = spark.createDataFrame([(0, 0, k) for k in range(size)], f"{KEY}, uid long")
-    got = [r["n"] for r in rc.batches(rows, []).orderBy("batch").collect()]
-    assert sum(got) == size and all(n == rc.CHUNK for n in got[:-1])
+    uids = [k * 30_000 + 1 for k in range(size)]  # over many buckets of uids
+    rows = spark.createDataFrame([(0, 0, k) for k in reversed(uids)] + [(0, 1, 7)], f"{KEY}, uid long")
+    got = rc.batches(rows, []).where("channel = 0").orderBy("batch").collect()
+    assert all(r["n"] == rc.CHUNK for r in got[:-1])
+    assert [int(u) for r in got for u in r["uids"].split(",")] == uids
 
 
 def test_whole_run(spark, tmp_path):

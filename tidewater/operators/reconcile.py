@@ -259,6 +259,24 @@ def to_push(box: Mailbox) -> DataFrame:
     return x.select(*FOLDER, "name", F.col("flags").bitwiseAND(F.lit(fl.SYNCED)).alias("flags"), F.col("flags").alias("near_flags"), "indir")
 
 
+def _numbered(rows: DataFrame, keys: list[str], buckets: dict[str, Column], order: list) -> DataFrame:
+    """Adds k, the row's number from 1 among the rows of its keys.
+
+    buckets are columns without nulls whose order agrees with `order`: rows are
+    numbered within a bucket and buckets by their sizes, so the rows of one very
+    large folder are dealt over tasks.
+    """
+    x, names = rows.withColumns(buckets), list(buckets)
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    first = x.groupBy(*keys, *names).agg(F.count("*").alias("n")).select(*keys, *names, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
+    return x.withColumn("own", own).join(first, [*keys, *names]).withColumn("k", F.col("first") + F.col("own")).drop("first", "own", *names)
+
+
+#: The uids of a bucket are alike but for this many bits; names of one bucket begin alike, with the leading digits of their time.
+UID_BITS, NAME_SIGNS = 16, 8
+
+
 def assign_uids(box: Mailbox, pull: DataFrame, push: DataFrame) -> DataFrame:
     """Near uids in the order of pulls, then pushes, from each folder's last uid on, and the write of the state after each.
 
@@ -266,8 +284,8 @@ def assign_uids(box: Mailbox, pull: DataFrame, push: DataFrame) -> DataFrame:
     """
     one = pull.select(*FOLDER, F.lit("pull").alias("kind"), "uid", F.lit("").alias("name"), F.col("flags").alias("near_flags"))
     both = one.unionByName(push.select(*FOLDER, F.lit("push").alias("kind"), F.lit(None).cast("long").alias("uid"), "name", "near_flags"))
-    rank = F.row_number().over(Window.partitionBy(*FOLDER).orderBy("kind", F.col("uid").asc_nulls_last(), "name"))
-    x = both.withColumn("k", rank).join(folders(box).select(*FOLDER, "uvlast"), FOLDER).withColumn("near_uid", F.col("uvlast") + F.col("k"))
+    buckets = {"kind_bucket": F.col("kind"), "uid_bucket": F.shiftright(_or0("uid"), UID_BITS), "name_bucket": F.substring("name", 1, NAME_SIGNS)}
+    x = _numbered(both, FOLDER, buckets, ["uid", "name"]).join(folders(box).select(*FOLDER, "uvlast"), FOLDER).withColumn("near_uid", F.col("uvlast") + F.col("k"))
     named = F.when(F.col("kind") == "push", mt.name_with_uid(F.col("name"), F.col("near_uid"), F.col("near_flags")))
     return x.select(*FOLDER, "kind", "uid", "name", F.col("near_flags").bitwiseAND(F.lit(fl.SYNCED)).alias("flags"), "near_uid", named.alias("new_name"), F.floor((F.col("k") - 1) / SAVE_EVERY).cast("long").alias("save_batch"))
 
@@ -304,8 +322,7 @@ def dry_run(acts: DataFrame, most: int = SHOWN) -> DataFrame:
 def batches(rows: DataFrame, by: list[str], size: int = CHUNK) -> DataFrame:
     """Commands of at most `size` uids each: rows of (folder, by, uid) to (folder, by, batch, n, uids)."""
     keys = [*FOLDER, *by]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("uid"))
-    numbered = rows.withColumn("batch", F.floor((rank - 1) / size).cast("long"))
+    numbered = _numbered(rows, keys, {"uid_bucket": F.shiftright("uid", UID_BITS)}, ["uid"]).withColumn("batch", F.floor((F.col("k") - 1) / size).cast("long"))
     return numbered.groupBy(*keys, "batch").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("uid")), lambda u: u.cast("string")), ",").alias("uids"))
 
 
