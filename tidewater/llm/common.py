@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,8 +38,9 @@ _ROOTS: list[tuple[SparkSession, str]] = []
 def _clean() -> None:
     """Deletes what the operators of this program wrote for themselves; results are read from it until then."""
     for spark, root in _ROOTS:
-        if spark.sparkContext._jsc is not None:
-            fs_delete(spark, root)
+        with contextlib.suppress(Exception):  # the session may have ended, and its JVM with it
+            if spark.sparkContext._jsc is not None:
+                fs_delete(spark, root)
 
 
 def bound_batches(spark: SparkSession) -> None:
