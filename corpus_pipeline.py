@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("packing", packing)]
 
-#: The trained classifier and the tokenizer have no SQL form; run() has no brute-force test yet.
+#: The trained classifier and the tokenizer have no SQL form; tests hold each stage, and run() over them all, against brute force.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,8 @@ and `next_baseline` what is saved afterwards.  Nothing here acts on a mailbox.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ class Mailbox:
     (of these nulls are absent files).  stats: exists, uidvalidity, uidnext,
     modseq.  baseline, at most one row a folder: version, ghosts, nlocal and the
     counters.  mtimes: curs, curn, news, newn.  force distrusts baselines; sync
-    is true for a run that will act.
+    is true for a run that will act.  known and checked, if given, are the stored
+    results of `folders` and `count_check`; see `settled`.
     """
 
     channels: DataFrame
@@ -50,12 +52,20 @@ class Mailbox:
     mtimes: DataFrame
     force: bool = False
     sync: bool = False
+    known: DataFrame | None = None
+    checked: DataFrame | None = None
 
 
 def _or0(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
+def settled(box: Mailbox, store: Callable[[DataFrame, str], DataFrame], checked: bool = False) -> Mailbox:
+    """The mailbox with what is known of its folders, one row each, written once by `store` rather than worked out in every plan."""
+    box = box if box.known is not None else replace(box, known=store(folders(box), "folders"))
+    return box if not checked or box.checked is not None else replace(box, checked=store(count_check(box), "checked"))
+
+
 def folders(box: Mailbox) -> DataFrame:
     """One row for each folder: headers and counters, `verdict` and `listing`.
 
@@ -64,6 +74,8 @@ def folders(box: Mailbox) -> DataFrame:
     what is asked of flags up to the high-water mark: `full` without a usable
     baseline, `delta` where both sides know a modseq and they differ, else `none`.
     """
+    if box.known is not None:
+        return box.known
     x = box.channels.select(*FOLDER, "expunge").join(box.state, FOLDER, "left").join(box.stats, FOLDER, "left")
     counters = ["version", "ghosts", "nlocal", *_COUNTERS]
     x = x.join(box.baseline.select(*FOLDER, *[F.col(c).alias(f"b_{c}") for c in counters]), FOLDER, "left").join(box.mtimes, FOLDER, "left")
@@ -154,6 +166,8 @@ def count_check(box: Mailbox) -> DataFrame:
     without a pair are counted anew; where that does not explain it either, the
     pairs are held against all messages (by_all), and what is left over are ghosts.
     """
+    if box.checked is not None:
+        return box.checked
     far = far_once(box).join(_paired(box, "fuid").withColumn("tracked", F.lit(True)), [*FOLDER, "uid"], "left")
     dead = fl.has(F.col("flags"), fl.DELETED)
     server = far.groupBy(*FOLDER).agg(F.count("*").alias("server"), F.count_if(dead & F.col("tracked").isNull()).alias("deleted"))

@@ -95,7 +95,7 @@ def _plan(name: str, body: str, build, **how: bool) -> None:
 
 
 def _out(s: Snapshots):
-    return rc.outcomes(s.box)
+    return rc.outcomes(s.checked)
 
 
 def _acts(s: Snapshots):
@@ -103,7 +103,8 @@ def _acts(s: Snapshots):
 
 
 def _counts(s: Snapshots):
-    return rc.folder_counts(s.box, _out(s), _acts(s))
+    out = s.store(_out(s), "outcomes")  # counted by code, and by the actions that it makes
+    return s.store(rc.folder_counts(s.checked, out, rc.actions(out, rc.to_pull(s.box), rc.to_push(s.box))), "counts")  # a row for each folder
 
 
 def _placed(s: Snapshots):
@@ -135,7 +136,7 @@ _plan("far_vanished", "SELECT account, channel, fuid FROM outc WHERE fuid IS NOT
 _plan("far_untracked", "SELECT account, channel, uid, flags FROM lst ANTI JOIN fset USING (account, channel, uid) WHERE listing = 'full' AND flags & 8 = 0", lambda s: rc.far_untracked(s.box))
 _plan("ghosts", "SELECT account, channel, uid, flags FROM lst ANTI JOIN fset USING (account, channel, uid) WHERE listing = 'full' AND flags & 8 <> 0", lambda s: rc.listed_ghosts(s.box))
 _plan("near_untracked", "SELECT account, channel, uid, flags, name FROM near JOIN folder USING (account, channel) ANTI JOIN nset USING (account, channel, uid) WHERE uid IS NOT NULL", lambda s: rc.near_untracked(s.box))
-_plan("residual_ghosts", "SELECT account, channel, srv \"exists\", alive, expected, recounted, by_all, CASE WHEN listing <> 'full' OR NOT present THEN ghosts END counted_ghosts FROM ghostly", lambda s: rc.count_check(s.box).select("account", "channel", "exists", "alive", "expected", "recounted", "by_all", "counted_ghosts"))
+_plan("residual_ghosts", "SELECT account, channel, srv \"exists\", alive, expected, recounted, by_all, CASE WHEN listing <> 'full' OR NOT present THEN ghosts END counted_ghosts FROM ghostly", lambda s: rc.count_check(s.checked).select("account", "channel", "exists", "alive", "expected", "recounted", "by_all", "counted_ghosts"))
 _plan("to_pull", "SELECT * FROM pull", lambda s: rc.to_pull(s.box))
 _plan("to_push", "SELECT * FROM push", lambda s: rc.to_push(s.box))
 _plan("store_batches", f"SELECT *, 'UID STORE ' || uids || ' ' || op || 'FLAGS.SILENT (' || {_imap('mask')} || ')' command FROM ({_batch_sql(_STORE, 'op, mask, ')})", lambda s: rc.store_batches(rc.far_flag_updates(_out(s))))

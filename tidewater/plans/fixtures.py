@@ -9,9 +9,12 @@ deltas; account 2's modseq has not moved, so only its counters speak.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.operators.reconcile import Mailbox
+from tidewater.operators.reconcile import Mailbox, settled
+from tidewater.shared import Scratch
 
 NEW_FAR = 10_000_000
 _FAR = "(((st | CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) - (st & CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)) | CASE WHEN k % 19 = 0 THEN 8 ELSE 0 END)"
@@ -38,7 +41,7 @@ SQL = ",\n".join(f"{name} AS ({body})" for name, body in TABLES.items())
 
 
 class Snapshots:
-    """The tables as DataFrames; `box` is a status run over them."""
+    """The tables as DataFrames; `box` is a run over them whose folders are known, `checked` one whose counters are too."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, sync: bool = False, force: bool = False):
         made: dict[str, DataFrame] = {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")}
@@ -50,4 +53,13 @@ class Snapshots:
             made[name] = spark.sql(text, **{t: made[t] for t in used})
         self.tables = made
         self.appended, self.fetched = made["appended"], made["fetched"]
-        self.box = Mailbox(**{t: made[t] for t in ("channels", "pairs", "near", "far", "state", "stats", "baseline", "mtimes")}, sync=sync, force=force)
+        self.scratch = Scratch(spark, "snapshots")
+        raw = Mailbox(**{t: made[t] for t in ("channels", "pairs", "near", "far", "state", "stats", "baseline", "mtimes")}, sync=sync, force=force)
+        self.box = settled(raw, self.store)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        return self.scratch.write(df, name)
+
+    @cached_property
+    def checked(self) -> Mailbox:
+        return settled(self.box, self.store, checked=True)

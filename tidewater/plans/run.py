@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from tidewater.operators import reconcile as rc
+from tidewater.shared import Scratch
 from tidewater.sources import state
 
 
@@ -22,12 +23,13 @@ class Run:
     """
 
     def __init__(self, box: rc.Mailbox, fetched: DataFrame | None = None, appended: DataFrame | None = None):
-        self.box, self.fetched = box, fetched
+        self.scratch = Scratch(box.near.sparkSession, "run")
+        self.box, self.fetched = rc.settled(box, self.scratch.write, checked=True), fetched
         self.appended = appended if appended is not None else box.near.sparkSession.createDataFrame([], "account int, channel int, name string, fuid long")
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return rc.outcomes(self.box)
+        return self.scratch.write(rc.outcomes(self.box), "outcomes")
 
     @cached_property
     def pull(self) -> DataFrame:
@@ -43,7 +45,7 @@ class Run:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return rc.folder_counts(self.box, self.outcomes, self.actions)
+        return self.scratch.write(rc.folder_counts(self.box, self.outcomes, self.actions), "counts")
 
     @cached_property
     def report(self) -> DataFrame:
