@@ -20,7 +20,8 @@ BATCH_BYTES = 1 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Has Spark hand texts to Python in batches of about BATCH_BYTES, not of 10,000 rows whatever their length."""
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 * BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
-        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
 
