@@ -29,8 +29,9 @@ from tidewater.llm.decontaminate import words
 TRAIN_ROWS = 12_000
 #: Features that each head may use.
 FEATURES = 1_500
-#: Labelled documents that must hold a feature, and the penalty on squared weights.
-SUPPORT, PENALTY = 3, 1e-3
+#: Labelled documents that must hold a feature, the standard deviations by which it must tell a head's documents
+#: from the others, and the penalty on squared weights.
+SUPPORT, SIGNIFICANT, PENALTY = 3, 3.5, 1e-3
 #: Sites whose posteriors are broadcast; more of them meet the documents by a salted join.
 BROADCAST_SITES, SALTS = 200_000, 16
 HEADS = ("toxic", "poor")
@@ -134,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for head in HEADS:
         rate = (total[head] + 0.5) / (total["n"] + 1)
         z = (F.col(head) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-        for r in counts.where(F.col("f") != F.lit(b"n")).orderBy(F.abs(z).desc(), "f").limit(FEATURES).select("f").collect():
+        for r in counts.where((F.col("f") != F.lit(b"n")) & (F.abs(z) >= SIGNIFICANT)).orderBy(F.abs(z).desc(), "f").limit(FEATURES).select("f").collect():
             picked.setdefault(bytes(r["f"]), len(picked))
 
     def vectors(batches):
