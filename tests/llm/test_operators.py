@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tidewater.llm.packing import pack, plan_packing
 from tidewater.llm.pii import _UNIT, KINDS, LABELS, _after, _ending, _spelt, base_spans, decode, find_pii, model_spans, redact, trained
 from tidewater.llm.quality import train
 from tidewater.llm.sharding import compact_arrivals
-from tidewater.llm.substring import remove_repeats
+from tidewater.llm.substring import WindowHasher, _cut, _pack, remove_repeats, word_hashes
 from tidewater.llm.tokenfiles import position_ids, read_packed, write_packed
 from tidewater.llm.warc import LoserTree, merge_index, merge_runs, read_archives, write_archives
 
@@ -109,6 +110,31 @@ def test_substring(docs, texts):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_texts_pass_one_at_a_time():
+    """A block's texts are not gathered: what was read comes out before the next batch is asked for."""
+    text = " ".join(f"w{k}" for k in range(60)).encode()
+    keys, _ = WindowHasher(50).roll(word_hashes([text])[0])
+    read = [
+        [(None, None, None, 0, _pack(np.full(3, 7), keys[:3]))],
+        [(7, 7, text, 0, None)],
+        [(8, 8, text, 0, None), (None, None, None, 1, _pack(np.array([70]), keys[-1:]))],
+        [(70, 70, text, 1, None), (7, 7, text, 2, None)],
+    ]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+    asked = []
+
+    def batches():
+        for rows in read:
+            asked.append(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["c0", "d", "t", "block", "packed"])
+
+    out = _cut(["c0", "n", "removed", "kept"], 1, 50)(batches())
+    first = next(out).to_pylist()
+    assert len(asked) == 2 and first == [{"c0": 7, "n": 60, "removed": [{"start": 0, "end": 52}], "kept": b" ".join(text.split()[52:]).decode()}]
+    rest = [r for b in out for r in b.to_pylist()]
+    assert [(r["c0"], [tuple(x.values()) for x in r["removed"]]) for r in rest] == [(8, []), (70, [(10, 60)]), (7, [])]
+
+
 def test_decontaminate(spark, docs, texts):
     items = [("b", " ".join(words(texts[7][1])[35:50])), ("a", "ONE, two!"), ("n", None), ("e", "..."), (None, texts[8][1])]
     bench = spark.createDataFrame(items, "item_id string, text string")

@@ -76,6 +76,16 @@ def test_query_equals_sql(spark, folder, db, name):
     assert got == sorted(map(repr, want.select(*columns).fetchall())) and got
 
 
+def test_substring_writes_few_files(spark, folder):
+    """Its rows are short, so many shuffle partitions don't become as many files."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert QUERIES["op2_substring_dedup"](spark, folder).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism < 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 #: The contract's patterns, as they are written there.
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",

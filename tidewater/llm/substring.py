@@ -7,8 +7,9 @@
    every document holds is sent once by each task, never in one row a document.
 2. Windows meet by bucket, packed many to a row.  A window whose smallest
    document is another one is answered to the documents that hold it.
-3. Answers meet the texts by blocks of documents; the windows are merged there
-   into maximal removal intervals.
+3. Answers and texts are dealt and sorted together by blocks of documents, a
+   block's answers before its texts, so that texts pass one at a time; the
+   windows are merged there into maximal removal intervals.
 
 A counted window is told apart by 64 bits and the bucket's bits of the second
 hash; buckets grow with the input, and with them the bits.
@@ -18,12 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tidewater.llm.common import bound_batches, input_bytes, quoted, slices, space_words, tidy, without
+from tidewater.llm.common import bound_batches, few_files, input_bytes, quoted, slices, space_words, tidy, without
 
 WINDOW = 50
 #: Windows that a task holds before it sends them, and answers that it gathers.
@@ -123,6 +125,7 @@ def _send(bits: int, window: int):
 
         def flush():
             keys, buckets, docs = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             order = np.argsort(keys, kind="stable")
             order = order[np.argsort(buckets[order], kind="stable")]
             keys, buckets, docs = keys[order], buckets[order], docs[order]
@@ -154,10 +157,9 @@ def _send(bits: int, window: int):
                     size += len(at)
                 if size >= FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
-        held.clear()
         tidy()
 
     return run
@@ -215,6 +217,53 @@ def _intervals(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
 _RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+def _by_document(answers: list[bytes]) -> dict[int, np.ndarray]:
+    """The windows to remove from each document of a block."""
+    if not answers:
+        return {}
+    ids, keys = (np.concatenate(x) for x in zip(*map(_unpack, answers)))
+    order = np.argsort(ids, kind="stable")
+    ids, keys = ids[order], keys[order]
+    cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+    return {int(ids[a]): keys[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
+
+
+def _cut(names: list[str], n_kept: int, window: int):
+    """From rows (kept columns, d, t, block, packed) sorted by block, its answers first, the texts without their repeats."""
+
+    def run(batches):
+        hasher = WindowHasher(window)
+        block, answers, gone = None, [], {}
+        for whole in batches:
+            for part in slices(whole, "t"):
+                n_words, removed, texts = [], [], []
+                for b, packed, doc, text in zip(*(part.column(c).to_pylist() for c in ("block", "packed", "d", "t"))):
+                    if b != block:
+                        block, answers, gone = b, [], {}
+                    if packed is not None:
+                        answers.append(packed)
+                        continue
+                    if answers:
+                        gone, answers = _by_document(answers), []
+                    words = space_words(text)
+                    ranges = []
+                    if doc in gone and len(words) >= window:
+                        keys, _ = hasher.roll(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
+                        ranges = _intervals(np.flatnonzero(np.isin(keys, gone[doc])), window)
+                    n_words.append(len(words))
+                    removed.append([{"start": x, "end": y} for x, y in ranges])
+                    for x, y in reversed(ranges):
+                        del words[x:y]
+                    texts.append(b" ".join(words))
+                if texts:
+                    own = part.filter(pc.is_null(part.column("packed")))
+                    made = [pa.array(n_words, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(texts, pa.binary()).cast(pa.string())]
+                    yield pa.RecordBatch.from_arrays([own.column(i) for i in range(n_kept)] + made, names=names)
+        tidy()
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds n_words, removed (maximal intervals of word positions) and kept_text.
 
@@ -242,41 +291,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     n_kept = len(kept)
     d = quoted(id_col).cast("long")
     block = F.coalesce(F.shiftright(d, BLOCK_BITS), -1 - F.abs(F.xxhash64(quoted(text_col)) % (1 << 40)))
-    texts = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], d.alias("d"), quoted(text_col).cast("binary").alias("t"), block.alias("block"))
-
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The texts of a block and the windows to remove from them."""
-        gone: dict[int, np.ndarray] = {}
-        if right.num_rows and left.num_rows:
-            ids, keys = (np.concatenate(x) for x in zip(*map(_unpack, right.column("packed").to_pylist())))
-            order = np.argsort(ids, kind="stable")
-            ids, keys = ids[order], keys[order]
-            cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
-            gone = {int(ids[a]): keys[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
-        hasher = WindowHasher(window)
-        n_words, removed, texts_out = [], [], []
-        for doc, text in zip(left.column("d").to_pylist(), left.column("t").to_pylist()):
-            words = space_words(text)
-            ranges = []
-            if doc in gone and len(words) >= window:
-                keys, _ = hasher.roll(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
-                ranges = _intervals(np.flatnonzero(np.isin(keys, gone[doc])), window)
-            n_words.append(len(words))
-            removed.append([{"start": a, "end": b} for a, b in ranges])
-            for a, b in reversed(ranges):
-                del words[a:b]
-            texts_out.append(b" ".join(words))
-        made = [pa.array(n_words, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(texts_out, pa.binary()).cast(pa.string())]
-        return pa.table([left.column(i).combine_chunks() for i in range(n_kept)] + made, names=inner.names)
-
-    out = texts.repartition(n, "block").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(cut, inner)
+    texts = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], d.alias("d"), quoted(text_col).cast("binary").alias("t"), block.alias("block"), F.lit(None).cast("binary").alias("packed"))
+    bare = [F.lit(None).cast(f.dataType).alias(f.name) for f in texts.schema if f.name not in ("block", "packed")]
+    both = texts.unionAll(answers.select(*bare, "block", "packed")).repartition(n, "block").sortWithinPartitions("block", F.col("packed").isNull())
+    out = both.mapInArrow(_cut(inner.names, n_kept, window), inner)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"r{i}").alias(f.name) for i, f in enumerate(fields)])
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document its words, those that repeat 50-word windows of earlier documents, and a digest of the rest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = remove_repeats(docs, carry=["doc_id"])
+    out = remove_repeats(docs, carry=["doc_id"]).coalesce(few_files(docs))
     return out.select(
         "doc_id",
         "n_words",
