@@ -205,3 +205,23 @@ def test_whole_run(spark, tmp_path):
     assert sorted(map(tuple, state.load(spark, str(tmp_path), "pairs").select("fuid", "nuid", "flags").collect())) == [(5, 5, 1), (7, 6, 0), (8, 7, 0)]
     assert state.load(spark, str(tmp_path), "headers").first()["maxpulled"] == 8
     assert state.load(spark, str(tmp_path), "baseline").first()["exists"] == 2  # the counters from before the run
+
+
+def test_tasks_grow_with_the_tables(spark, monkeypatch):
+    pairs = [(None if k % 3 == 0 else k, None if k % 3 == 1 else k, 0) for k in range(1, 901)]
+    folder = dict(pairs=pairs, near=[(k, 1, f"m{k}", 0) for k in range(1, 901) if k % 5] + [(k, 0, f"d{k}", 1) for k in range(890, 905)], far=[(k, 8 if k % 7 == 0 else 4, 1) for k in range(1, 905) if k % 4], maxpulled=900)
+
+    def made(rows):
+        monkeypatch.setattr(rc, "TASK_ROWS", rows, raising=False)
+        box = mailbox(spark, {0: folder, 1: folder | {"expunge": False}})
+        out = rc.outcomes(box)
+        counts = rc.folder_counts(box, out, rc.actions(out, rc.to_pull(box), rc.to_push(box)))
+        codes = out.withColumn("task", F.spark_partition_id()).collect()
+        by_row = sorted((repr([r[c] for c in ("account", "channel", "fuid", "nuid", "code", "merged")]) for r in codes))
+        at = [r["task"] for r in codes]
+        return by_row, sorted(map(repr, counts.collect())), max(at.count(t) for t in set(at)), out.rdd.getNumPartitions()
+
+    few, many = made(1_000_000), made(60)
+    assert few[:2] == many[:2]
+    assert many[3] >= 30  # before, as many as for small tables
+    assert many[2] <= 180  # pairs without a far uid are dealt too: before, all of a folder came to one task

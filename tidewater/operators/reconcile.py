@@ -10,7 +10,7 @@ and `next_baseline` what is saved afterwards.  Nothing here acts on a mailbox.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ BASELINE_VERSION = 2
 KINDS = {"pull": 1, "push": 2, "far_flags": 3, "near_flags": 4, "near_delete": 5, "expunge": 6}
 GONE = ("A", "B", "C1", "D1", "D1+T", "F", "F+T")
 _COUNTERS = ("uidval", "uidnext", "exists", "modseq", "curs", "curn", "news", "newn")
+#: Of each table, the rows that one task sorts at most, but for the unevenness of hashes.
+TASK_ROWS = 250_000
 
 
 @dataclass
@@ -39,7 +41,8 @@ class Mailbox:
     modseq.  baseline, at most one row a folder: version, ghosts, nlocal and the
     counters.  mtimes: curs, curn, news, newn.  force distrusts baselines; sync
     is true for a run that will act.  known and checked, if given, are the stored
-    results of `folders` and `count_check`; see `settled`.
+    results of `folders` and `count_check`; see `settled`.  sized holds the rows
+    of the largest table once they have been counted.
     """
 
     channels: DataFrame
@@ -54,6 +57,7 @@ class Mailbox:
     sync: bool = False
     known: DataFrame | None = None
     checked: DataFrame | None = None
+    sized: list[int] = field(default_factory=list)
 
 
 def _or0(name: str) -> Column:
@@ -103,28 +107,51 @@ def _open(box: Mailbox) -> DataFrame:
     return folders(box).where("verdict is null")
 
 
-def far_once(box: Mailbox) -> DataFrame:
-    """The far listing with one row for each uid; of several the one with the last modseq counts."""
-    order = F.struct(F.coalesce("modseq", F.lit(0)), "flags")
-    return box.far.where("uid > 0").groupBy(*FOLDER, "uid").agg(F.max_by("flags", order).alias("flags"), F.max(F.coalesce("modseq", F.lit(0))).alias("modseq"))
+def _most_rows(box: Mailbox) -> int:
+    if not box.sized:
+        tables = [t.select(F.lit(k).alias("t")) for k, t in enumerate((box.far, box.near, box.pairs))]
+        box.sized.append(max([0, *(r["count"] for r in tables[0].union(tables[1]).union(tables[2]).groupBy("t").count().collect())]))
+    return box.sized[0]
+
+
+def _dealt(box: Mailbox, rows: DataFrame) -> DataFrame:
+    """The rows dealt by folder and uid, over tasks whose number grows with the tables, so that what a task holds does not.
+
+    Uids hardly repeat, so rows are dealt as they are: what is worked out by uid
+    follows here, in one sort, and not in another one before the exchange.
+    """
+    tasks = -(-_most_rows(box) // TASK_ROWS)
+    few = tasks <= rows.sparkSession.sparkContext.defaultParallelism  # Spark makes as many tasks of its own accord
+    return rows.repartition(*FOLDER, "uid") if few else rows.repartition(tasks, *FOLDER, "uid")
+
+
+def _last_far() -> Column:
+    return F.struct(F.coalesce("modseq", F.lit(0)).alias("modseq"), "flags")
+
+
+def far_once(box: Mailbox, only: DataFrame | None = None) -> DataFrame:
+    """The far listing, or only these rows of it, with one row for each uid; of several the one with the last modseq counts."""
+    rows = (box.far if only is None else only).where("uid > 0").select(*FOLDER, "uid", _last_far().alias("m"))
+    return _dealt(box, rows).groupBy(*FOLDER, "uid").agg(F.max("m").alias("m")).select(*FOLDER, "uid", "m.flags", "m.modseq")
 
 
 def near_once(box: Mailbox) -> DataFrame:
     """The near messages that have a uid, one row for each; of several the one scanned last counts: new after cur, then by name."""
-    own = F.max_by(F.struct("flags", "name", "indir"), F.struct("indir", "name", "flags"))
-    return box.near.where("uid > 0").groupBy(*FOLDER, "uid").agg(own.alias("m")).select(*FOLDER, "uid", "m.*")
+    rows = box.near.where("uid > 0").select(*FOLDER, "uid", F.struct("indir", "name", "flags").alias("m"))
+    return _dealt(box, rows).groupBy(*FOLDER, "uid").agg(F.max("m").alias("m")).select(*FOLDER, "uid", "m.flags", "m.name", "m.indir")
 
 
 def new_messages(box: Mailbox) -> DataFrame:
     """Far messages beyond the high-water mark: uid, flags, and whether they arrive deleted, which makes them ghosts."""
-    beyond = far_once(box).join(_open(box).where("asks_new").select(*FOLDER, "maxpulled"), FOLDER).where(F.col("uid") > F.col("maxpulled"))
-    return beyond.select(*FOLDER, "uid", "flags", fl.has(F.col("flags"), fl.DELETED).alias("ghost"))
+    beyond = box.far.join(_open(box).where("asks_new").select(*FOLDER, "maxpulled"), FOLDER).where(F.col("uid") > F.col("maxpulled"))
+    return far_once(box, beyond).select(*FOLDER, "uid", "flags", fl.has(F.col("flags"), fl.DELETED).alias("ghost"))
 
 
 def listed(box: Mailbox, listing: str | None = None) -> DataFrame:
     """What the full or delta listing of each folder returns: uid, flags."""
-    own = _open(box).select(*FOLDER, "maxpulled", "b_modseq", "listing")
-    x = far_once(box).join(own, FOLDER).where((F.col("uid") <= F.col("maxpulled")) & ((F.col("listing") == "full") | ((F.col("listing") == "delta") & (F.col("modseq") > F.col("b_modseq")))))
+    own = _open(box).where("listing <> 'none'").select(*FOLDER, "maxpulled", "b_modseq", "listing")
+    asked = box.far.join(own.select(*FOLDER, "maxpulled"), FOLDER).where(F.col("uid") <= F.col("maxpulled"))
+    x = far_once(box, asked).join(own, FOLDER).where((F.col("listing") == "full") | ((F.col("listing") == "delta") & (F.col("modseq") > F.col("b_modseq"))))
     return (x if listing is None else x.where(F.col("listing") == listing)).select(*FOLDER, "uid", "flags")
 
 
@@ -134,28 +161,39 @@ def search_set(box: Mailbox, what: str) -> DataFrame:
     return (x if what == "ALL" else x.where(fl.has(F.col("flags"), fl.DELETED))).select(*FOLDER, "uid")
 
 
-def _paired(box: Mailbox, side: str) -> DataFrame:
-    return box.pairs.where(f"{side} is not null").select(*FOLDER, F.col(side).alias("uid")).distinct()
+def _unpaired(box: Mailbox, dealt: DataFrame, side: str) -> DataFrame:
+    """Those of the dealt rows whose uid is in no pair; by an outer join, as Spark would deal rows after an anti join and not before it."""
+    paired = _dealt(box, box.pairs.where(f"{side} is not null").select(*FOLDER, F.col(side).alias("uid"))).distinct()
+    return dealt.join(paired.withColumn("paired", F.lit(True)), [*FOLDER, "uid"], "left").where("paired is null").drop("paired")
 
 
 def far_unpaired(box: Mailbox) -> DataFrame:
     """Far messages without a pair: uid, flags, modseq."""
-    return far_once(box).join(_paired(box, "fuid"), [*FOLDER, "uid"], "left_anti")
+    return _unpaired(box, far_once(box), "fuid")
 
 
 def far_untracked(box: Mailbox) -> DataFrame:
     """Messages of full listings that have no pair and are not deleted."""
-    return listed(box, "full").join(_paired(box, "fuid"), [*FOLDER, "uid"], "left_anti").where(~fl.has(F.col("flags"), fl.DELETED))
+    return _unpaired(box, listed(box, "full"), "fuid").where(~fl.has(F.col("flags"), fl.DELETED))
 
 
 def listed_ghosts(box: Mailbox) -> DataFrame:
     """Messages of full listings that have no pair and are deleted."""
-    return listed(box, "full").join(_paired(box, "fuid"), [*FOLDER, "uid"], "left_anti").where(fl.has(F.col("flags"), fl.DELETED))
+    return _unpaired(box, listed(box, "full"), "fuid").where(fl.has(F.col("flags"), fl.DELETED))
 
 
 def near_untracked(box: Mailbox) -> DataFrame:
     """Near messages that have a uid but no pair."""
-    return box.near.where("uid > 0").join(_open(box).select(*FOLDER), FOLDER).join(_paired(box, "nuid"), [*FOLDER, "uid"], "left_anti").select(*FOLDER, "uid", "flags", "name")
+    own = box.near.where("uid > 0").join(_open(box).select(*FOLDER), FOLDER).select(*FOLDER, "uid", "flags", "name")
+    return _unpaired(box, _dealt(box, own), "nuid")
+
+
+def _far_sides(box: Mailbox) -> DataFrame:
+    """Each uid of the far mailbox or of a pair's far side, once: m, the far modseq and flags if it is there, and its number of pairs."""
+    far = box.far.where("uid > 0").select(*FOLDER, "uid", _last_far().alias("m"), F.lit(0).alias("pairs"))
+    none = F.lit(None).cast(far.schema["m"].dataType)
+    paired = box.pairs.where("fuid is not null").select(*FOLDER, F.col("fuid").alias("uid"), none.alias("m"), F.lit(1).alias("pairs"))
+    return _dealt(box, far.unionByName(paired)).groupBy(*FOLDER, "uid").agg(F.max("m").alias("m"), F.sum("pairs").alias("pairs"))
 
 
 def count_check(box: Mailbox) -> DataFrame:
@@ -165,16 +203,24 @@ def count_check(box: Mailbox) -> DataFrame:
     known ghosts.  Where the server has another number the deleted messages
     without a pair are counted anew; where that does not explain it either, the
     pairs are held against all messages (by_all), and what is left over are ghosts.
+    Messages of full listings that have no pair are counted in the same pass.
     """
     if box.checked is not None:
         return box.checked
-    far = far_once(box).join(_paired(box, "fuid").withColumn("tracked", F.lit(True)), [*FOLDER, "uid"], "left")
-    dead = fl.has(F.col("flags"), fl.DELETED)
-    server = far.groupBy(*FOLDER).agg(F.count("*").alias("server"), F.count_if(dead & F.col("tracked").isNull()).alias("deleted"))
-    new = new_messages(box).groupBy(*FOLDER).agg(F.count_if(~F.col("ghost")).alias("new"), F.count_if("ghost").alias("new_ghosts"))
-    there = box.pairs.where("fuid is not null").join(far_once(box).select(*FOLDER, F.col("uid").alias("fuid"), F.lit(1).alias("there")), [*FOLDER, "fuid"], "left")
-    pairs = there.groupBy(*FOLDER).agg(F.count("*").alias("alive"), F.count_if(F.col("there").isNull()).alias("missing"))
-    x = _open(box).join(server, FOLDER, "left").join(new, FOLDER, "left").join(pairs, FOLDER, "left").na.fill(0, ["server", "deleted", "new", "new_ghosts", "alive", "missing"])
+    sides = _far_sides(box).join(_open(box).select(*FOLDER, "maxpulled", "listing", "asks_new"), FOLDER)
+    there, dead, old = F.col("m").isNotNull(), fl.has(F.col("m.flags"), fl.DELETED), F.col("uid") <= F.col("maxpulled")
+    lone, new, full = there & (F.col("pairs") == 0), there & F.col("asks_new") & ~old, (F.col("listing") == "full") & old
+    counts = {
+        "server": F.count_if(there),
+        "deleted": F.count_if(lone & dead),
+        "new": F.count_if(new & ~dead),
+        "new_ghosts": F.count_if(new & dead),
+        "alive": F.sum("pairs"),
+        "missing": F.sum(F.when(there, 0).otherwise(F.col("pairs"))),
+        "remuntracked": F.count_if(lone & full & ~dead),
+        "listed_ghosts": F.count_if(lone & full & dead),
+    }
+    x = _open(box).join(sides.groupBy(*FOLDER).agg(*[c.alias(n) for n, c in counts.items()]), FOLDER, "left").na.fill(0, [*counts])
     x = x.withColumn("known", F.col("new_ghosts") + F.when(F.col("valid"), _or0("b_ghosts")).otherwise(0))
     counted = F.col("present") & (F.col("listing") != "full")
     x = x.withColumn("expected", F.col("alive") + F.col("new") + F.col("known")).withColumn("recounted", F.col("alive") + F.col("new") + F.col("deleted"))
@@ -191,9 +237,12 @@ def outcomes(box: Mailbox) -> DataFrame:
     that a delta does not mention has neither changed nor vanished.
     """
     checked = count_check(box).select(*FOLDER, "expunge", "listing", "maxpulled", "b_modseq", "by_all")
-    near = near_once(box).select(*FOLDER, F.col("uid").alias("nuid"), F.col("flags").alias("nf"), "name", "indir")
-    far = far_once(box).select(*FOLDER, F.col("uid").alias("fuid"), F.col("flags").alias("far_flags"), F.col("modseq").alias("far_modseq"))
-    x = box.pairs.join(checked, FOLDER).join(near, [*FOLDER, "nuid"], "left").join(far, [*FOLDER, "fuid"], "left")
+    near = near_once(box).select(*FOLDER, "uid", F.col("flags").alias("nf"), "name", "indir")
+    far = far_once(box).select(*FOLDER, "uid", F.col("flags").alias("far_flags"), F.col("modseq").alias("far_modseq"))
+    x = box.pairs.join(checked, FOLDER)
+    for side, other, table in (("nuid", "fuid", near), ("fuid", "nuid", far)):
+        absent = -F.abs(F.col(other))  # no message has it; one null for all would bring them to one task
+        x = _dealt(box, x.withColumn("uid", F.coalesce(side, absent))).join(table, [*FOLDER, "uid"], "left").drop("uid")
     there, old, full = F.col("far_flags").isNotNull(), F.col("fuid") <= F.col("maxpulled"), F.col("listing") == "full"
     vanished = F.when(full, ~(there & old)).otherwise(F.col("by_all") & ~there)
     given = there & old & (full | ((F.col("listing") == "delta") & (F.col("far_modseq") > F.col("b_modseq"))))
@@ -397,12 +446,11 @@ def folder_counts(box: Mailbox, out: DataFrame, acts: DataFrame) -> DataFrame:
     pairs = out.groupBy(*FOLDER).agg(F.count_if(c.isin("A", "C1", "C2", "C3")).alias("vgone"), F.count_if(c.startswith("D")).alias("lgone"), F.count_if((c == "Gd") & ~F.col("expunge")).alias("tdrift"), F.count_if(~(c.startswith("G") | (c == "E"))).alias("settled"))
     kinds = acts.groupBy(*FOLDER).agg(F.count("*").alias("actions"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
     near = box.near.groupBy(*FOLDER).agg(F.count("*").alias("local"))
-    sides = near_untracked(box).select(*FOLDER, F.lit("untracked").alias("s")).unionByName(far_untracked(box).select(*FOLDER, F.lit("remuntracked").alias("s"))).unionByName(listed_ghosts(box).select(*FOLDER, F.lit("listed_ghosts").alias("s")))
-    sides = sides.groupBy(*FOLDER).agg(*[F.count_if(F.col("s") == s).alias(s) for s in ("untracked", "remuntracked", "listed_ghosts")])
+    lone = near_untracked(box).groupBy(*FOLDER).agg(F.count("*").alias("untracked"))
     x = count_check(box).drop("expunge")  # here the number of expunges
-    for part in (pairs, kinds, near, sides):
+    for part in (pairs, kinds, near, lone):
         x = x.join(part, FOLDER, "left")
-    x = x.na.fill(0, [*_PAIR_COUNTS, "actions", *KINDS, "local", "untracked", "remuntracked", "listed_ghosts"])
+    x = x.na.fill(0, [*_PAIR_COUNTS, "actions", *KINDS, "local", "untracked"])
     ghosts = F.coalesce("counted_ghosts", F.col("new_ghosts") + F.col("listed_ghosts"))
     keep = ["present", "valid", "journal", "listing", "exists", "uidvalidity", "uidnext", "modseq", "alive", "expected", "untracked", "remuntracked"]
     return x.select(*FOLDER, *keep, ghosts.alias("ghosts"), "vgone", "lgone", "tdrift", (F.col("settled") > 0).alias("changed"), "actions", *KINDS, "local")
