@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from tidewater.functions import flags as fl
 MAX_UID = (1 << 32) - 1
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once however often it is used; Spark does not see that two lambdas are alike."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(digits: Column) -> Column:
     wide = digits.try_cast("decimal(38,0)")
     value = F.when(digits == "", None).when((F.length(F.ltrim(digits, F.lit("0"))) > 20) | (wide > F.lit(str((1 << 64) - 1)).cast("decimal(38,0)")), F.lit(MAX_UID)).otherwise((wide % F.lit(MAX_UID + 1).cast("decimal(38,0)")).cast("long"))
@@ -80,8 +86,8 @@ def smtp_data(message: Column) -> Column:
 def smtp_commands(sender: Column, recipients: Column) -> Column:
     """The commands of a submission before its data, in order; without a recipient there are none."""
     to = F.transform(recipients, lambda r: F.concat(F.lit("RCPT TO:<"), r, F.lit(">")))
-    whole = F.concat(F.array(F.concat(F.lit("MAIL FROM:<"), sender, F.lit(">"))), to, F.array(F.lit("DATA")))
-    return F.when(F.size(recipients) > 0, whole).otherwise(F.array().cast("array<string>"))
+    whole = lambda x: F.concat(F.array(F.concat(F.lit("MAIL FROM:<"), sender, F.lit(">"))), x, F.array(F.lit("DATA")))
+    return _once(to, lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(F.array().cast("array<string>")))
 
 
 def imap_quoted(text: Column) -> Column:
@@ -102,18 +108,22 @@ def address_parts(value: Column) -> Column:
     return F.regexp_extract_all(value, F.lit(r'((?:[^",]|"[^"]*(?:"|$))+)'), F.lit(1))
 
 
-def one_address(part: Column) -> Column:
-    """The text between the last < and the first > after the first <, or all of it; empty is null."""
+def _inner_text(part: Column) -> Column:
     last = F.length(part) - F.instr(F.reverse(part), "<") + 1
     first = F.instr(part, "<")
     after = F.instr(F.substr(part, first + 1), ">")
     end = F.when(after > 0, first + after).otherwise(0)
     inner = F.when((first > 0) & (end > 0), F.when(end > last, F.substr(part, last + 1, end - last - 1)).otherwise("")).otherwise(part)
-    return F.nullif(F.regexp_replace(inner, r"^[ \t]+|[ \t]+$", ""), F.lit(""))
+    return F.regexp_replace(inner, r"^[ \t]+|[ \t]+$", "")
+
+
+def one_address(part: Column) -> Column:
+    """The text between the last < and the first > after the first <, or all of it; empty is null."""
+    return F.nullif(_inner_text(part), F.lit(""))
 
 
 def addresses(value: Column) -> Column:
-    return F.filter(F.transform(address_parts(unfolded(value)), one_address), lambda a: a.isNotNull())
+    return F.filter(F.transform(address_parts(unfolded(value)), _inner_text), lambda a: a != "")
 
 
 def head(message: Column) -> Column:
@@ -132,7 +142,11 @@ def header_fields(message: Column) -> Column:
 
 def addresses_of(message: Column, *names: str) -> Column:
     """All addresses of the header fields of these names, in their order."""
-    own = F.filter(header_fields(message), lambda f: F.lower(f["name"]).isin(*names))
+    return _addresses_in(header_fields(message), *names)
+
+
+def _addresses_in(fields: Column, *names: str) -> Column:
+    own = F.filter(fields, lambda f: F.lower(f["name"]).isin(*names))
     return F.flatten(F.transform(own, lambda f: addresses(f["value"])))
 
 
@@ -145,6 +159,12 @@ def recipients(message: Column) -> Column:
     return addresses_of(message, "to", "cc", "bcc")
 
 
+def submission(given: Column, message: Column, user: Column) -> Column:
+    """smtp_commands of a message from its envelope_sender to its recipients; its header is taken apart once for both."""
+    sender = lambda f: F.coalesce(given, F.get(_addresses_in(f, "from"), F.lit(0)), user)
+    return _once(header_fields(message), lambda f: smtp_commands(sender(f), _addresses_in(f, "to", "cc", "bcc")))
+
+
 def without_bcc(message: Column) -> Column:
     """The message without its Bcc fields and their continuation lines."""
     own = head(message)

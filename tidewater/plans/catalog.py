@@ -8,6 +8,7 @@ from tidewater.functions import flags as fl
 from tidewater.functions import mailtext as mt
 from tidewater.operators import reconcile as rc
 from tidewater.plans.fixtures import SQL, Snapshots
+from tidewater.shared import dealt
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -252,14 +253,14 @@ _text("base64_text", "SELECT conv_id, turn, md5(base64(encode(text))) b64_md5 FR
 #: A message for each customer: folded fields, names in any case, quoted commas, Bcc fields, bodies that look like headers.
 _CRLF = "chr(13) || chr(10)"
 _MAIL = f"""'Subject: x' || {_CRLF} || CASE WHEN c_custkey % 4 = 0 THEN 'noise' || chr(10) || ' bcc: n@x' || chr(10) ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN 'FROM' ELSE 'From' END || ': "Last, ' || c_mktsegment || '"' || {_CRLF} || ' <u' || CAST(c_custkey AS STRING) || '@a.test>, z@z.test' || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'bCC: h' || CAST(c_custkey AS STRING) || '@b.test,' || chr(10) || chr(9) || '<i@b.test>' || chr(10) ELSE '' END || 'To: t@c.test , <>, <p> <q>' || chr(10) || chr(10) || 'Bcc: body@d.test' || chr(10) || '.dot'"""
-_mails = lambda t: t("customer").selectExpr("c_custkey", f"{_MAIL} AS mail")
+_mails = lambda t: dealt(t("customer").select("c_custkey", "c_mktsegment"), "c_custkey").selectExpr("c_custkey", f"{_MAIL} AS mail")
 _SENT = "'u' || c_custkey || '@a.test'"
 _text("header_addresses", f"SELECT c_custkey, {_SENT} || ';z@z.test' AS senders, CASE WHEN c_custkey % 2 = 0 THEN 'h' || c_custkey || '@b.test;i@b.test;' ELSE '' END || 't@c.test' AS recipients FROM customer", lambda t: _mails(t).select("c_custkey", F.array_join(mt.addresses_of(F.col("mail"), "from"), ";").alias("senders"), F.array_join(mt.recipients(F.col("mail")), ";").alias("recipients")))
 _text("header_fields", "SELECT c_custkey, 'Subject;' || CASE WHEN c_custkey % 3 = 0 THEN 'FROM' ELSE 'From' END || CASE WHEN c_custkey % 2 = 0 THEN ';bCC' ELSE '' END || ';To' AS names FROM customer", lambda t: _mails(t).select("c_custkey", F.array_join(F.transform(mt.header_fields(F.col("mail")), lambda f: f["name"]), ";").alias("names")))
 _text(
     "smtp_plan",
     f"SELECT c_custkey, 'MAIL FROM:<' || {_SENT} || '>' || CASE WHEN c_custkey % 2 = 0 THEN ';RCPT TO:<h' || c_custkey || '@b.test>;RCPT TO:<i@b.test>' ELSE '' END || ';RCPT TO:<t@c.test>;DATA' AS commands FROM customer",
-    lambda t: _mails(t).select("c_custkey", F.array_join(mt.smtp_commands(mt.envelope_sender(F.lit(None).cast("string"), F.col("mail"), F.lit("u")), mt.recipients(F.col("mail"))), ";").alias("commands")),
+    lambda t: _mails(t).select("c_custkey", F.array_join(mt.submission(F.lit(None).cast("string"), F.col("mail"), F.lit("u")), ";").alias("commands")),
 )
 _text("strip_bcc", f"SELECT c_custkey, md5(replace(mail, 'bCC: h' || c_custkey || '@b.test,' || chr(10) || chr(9) || '<i@b.test>' || chr(10), '')) AS left_md5 FROM (SELECT *, {_MAIL} AS mail FROM customer)", lambda t: _mails(t).select("c_custkey", F.md5(mt.without_bcc(F.col("mail")).cast("binary")).alias("left_md5")))
 _text("smtp_data", f"SELECT c_custkey, md5(replace(replace(replace(mail || chr(10), {_CRLF}, chr(10)), chr(10) || '.', chr(10) || '..'), chr(10), {_CRLF})) AS wire_md5 FROM (SELECT *, {_MAIL} AS mail FROM customer)", lambda t: _mails(t).select("c_custkey", F.md5(mt.smtp_data(F.col("mail")).cast("binary")).alias("wire_md5")))

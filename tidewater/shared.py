@@ -24,6 +24,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of text that one task works on, where a small file holds many.
+TEXT_ROWS = 20_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows over as many tasks as their number asks for: a file of a few MB is read by one task, however much is worked out of each row."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TEXT_ROWS))
+    return rows.repartition(tasks, key)
+
+
 _ROOTS: list[tuple[SparkSession, str]] = []
 
 
